@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from .license_scan import op10_license_scan
 from .packing import op6_packing
+from .quality_rules import OP1_SQL, op1_quality_rules
 from .substring_dedup import op2_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op3_token_counts
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_token_counts": op3_token_counts,
     "op6_packing": op6_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL}
