@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import op10_license_scan
+from .near_dedup import op5_near_dedup
 from .packing import op6_packing
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .substring_dedup import op2_substring_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_token_counts": op3_token_counts,
+    "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
