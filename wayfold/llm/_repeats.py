@@ -28,8 +28,9 @@ SAMPLE_DOCS = 1000
 CELLS = 1 << 18
 #: Added to the place of a gram that stands in a stretch more than once, so that not all windows hold it there.
 LOOSE = 128
+#: Bytes of text that one task compares and sends at a time.
+LOAD = 1 << 24
 SENT = "bucket int, payload binary"
-FOUND = "doc_id long, text_key long, start long, length long"
 
 Stretch = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 #: From a chunk's bytes and row offsets: the symbols' grams, unit offsets of rows, byte starts and ends of the units.
@@ -38,9 +39,9 @@ Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndar
 
 def common_cells(docs: DataFrame, units: Units) -> np.ndarray:
     """Which of CELLS hash cells hold grams that are common in a sample of SAMPLE_DOCS documents."""
-    rows = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(SAMPLE_DOCS)
+    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).select("text").take(SAMPLE_DOCS)
     counts = np.zeros(CELLS, np.int64)
-    for row in rows.toLocalIterator():
+    for row in rows:
         data = np.frombuffer(row["text"].encode(), np.uint8)
         grams = units(data, np.array([0, len(data)]))[0]
         counts += np.bincount((grams >> np.uint64(46)).astype(np.int64), minlength=CELLS)
@@ -113,10 +114,37 @@ def merged(ids: np.ndarray, start: np.ndarray, length: np.ndarray):
     return ids[at], start[at], reach[last] - base[last] - start[at]
 
 
+def loads(batches: Iterator[pa.RecordBatch], limit: int = LOAD) -> Iterator[pa.RecordBatch]:
+    """The batches joined to about `limit` bytes each."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences from one value to the next, which compress well; np.cumsum undoes it."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by bucket, the buckets that occur, and where each begins (and the last ends)."""
+    bucket = (S.mix(keys.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    names, at = np.unique(bucket[order], return_index=True)
+    return order, names, np.r_[at, len(order)]
+
+
 def _send(units: Units, common, length: int, gram: int, n_buckets: int) -> Callable:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = common.value
-        for batch in batches:
+        for batch in loads(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = S.text_column(batch.column(2))
@@ -129,50 +157,54 @@ def _send(units: Units, common, length: int, gram: int, n_buckets: int) -> Calla
                     continue
                 row, start, windows, place, order = found
                 left, right = begin[start], end[start + windows + length - 2]
-                got.append((row + a, start - bounds[row], windows, place, order, left + low, right - left, S.span_hashes(part, left, right)))
+                got.append((row + a, start - bounds[row], windows.astype(np.uint8), place.astype(np.uint8), order, left + low, (right - left).astype(np.int32), S.span_hashes(part, left, right)))
             if not got:
                 continue
             row, start, windows, place, order, left, size, content = map(np.concatenate, zip(*got, strict=True))
+            del got
             by = np.lexsort((ids[row], content))  # equal stretches: the one of the least document travels
             head = np.r_[True, content[by][1:] != content[by][:-1]]
             lead = by[np.flatnonzero(head)[np.cumsum(head) - 1]]
             again = np.flatnonzero((ids[row[by]] > ids[row[lead]]) & (size[by] == size[lead]) & (windows[by] == windows[lead]))
-            again = again[same_bytes(data, left[by[again]], left[lead[again]], size[by[again]])]
+            again = again[same_bytes(data, left[by[again]], left[lead[again]], size[by[again]].astype(np.int64))]
             known = by[again]
-            stay = np.ones(len(row), bool)
-            stay[known] = False
-            k_row, k_start, k_length = merged(row[known], start[known], windows[known] + length - 1)
-            k_bucket = S.mix(ids[k_row].astype(np.uint64)) % np.uint64(n_buckets)
-            sent = np.flatnonzero(stay)
-            bucket = (S.mix(order[sent]) % np.uint64(n_buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            sent, bucket = sent[by], bucket[by]
-            k_by = np.argsort(k_bucket, kind="stable")
-            k_row, k_start, k_length, k_bucket = k_row[k_by], k_start[k_by], k_length[k_by], k_bucket[k_by].astype(np.int64)
-            names = np.unique(np.r_[bucket, k_bucket])
-            cut, k_cut = np.searchsorted(bucket, np.r_[names, n_buckets]), np.searchsorted(k_bucket, np.r_[names, n_buckets])
+            sent = np.ones(len(row), bool)
+            sent[known] = False
+            known = merged(row[known], start[known], windows[known].astype(np.int64) + length - 1)
+            sent = np.flatnonzero(sent)
+            by, names, at = dealt(order[sent], n_buckets)
+            sent = sent[by]
+            k_by, k_names, k_at = dealt(ids[known[0]], n_buckets)
+            k_row, k_start, k_length = (x[k_by] for x in known)
+            nothing = np.zeros(0, np.int64)
+            for part in range(0, len(names), 32):
+                out = []
+                for k in range(part, min(part + 32, len(names))):
+                    x = sent[at[k] : at[k + 1]]
+                    text = data[S.ranges(left[x], size[x].astype(np.int64))]
+                    out.append(pack(steps(ids[row[x]]), keys[row[x]], steps(start[x].astype(np.int32)), windows[x], place[x], size[x] - windows[x] - (length - 1), text, nothing, nothing, nothing, nothing))
+                yield pa.record_batch([pa.array(names[part : part + 32], pa.int32()), pa.array(out, pa.binary())], names=["bucket", "payload"])
             out = []
-            for k in range(len(names)):
-                x, y = sent[cut[k] : cut[k + 1]], slice(k_cut[k], k_cut[k + 1])
-                text = data[S.ranges(left[x], size[x])]
-                out.append(pack(ids[row[x]], keys[row[x]], start[x].astype(np.int32), windows[x].astype(np.uint8), place[x].astype(np.uint8), size[x].astype(np.int32), text, ids[k_row[y]], keys[k_row[y]], k_start[y], k_length[y]))
-            yield pa.record_batch([pa.array(names, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "payload"])
+            for k in range(len(k_names)):
+                y = slice(k_at[k], k_at[k + 1])
+                out.append(pack(nothing, nothing, nothing.astype(np.int32), nothing.astype(np.uint8), nothing.astype(np.uint8), nothing.astype(np.int32), nothing.astype(np.uint8), ids[k_row[y]], keys[k_row[y]], k_start[y], k_length[y]))
+            yield pa.record_batch([pa.array(k_names, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "payload"])
 
     return send
 
 
-def _resolve(compare: Callable, length: int) -> Callable:
-    """compare(text, byte starts, sizes, windows, place, doc) -> flags of the windows, one after another."""
-
+def _resolve(compare, length: int, n_buckets: int) -> Callable:
     def resolve(table: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_py()) for x in table.column("payload")]
-        ids, keys, start, windows, place, size, text, k_ids, k_keys, k_start, k_length = map(np.concatenate, zip(*parts, strict=True))
+        parts = []
+        for x in table.column("payload"):
+            ids, keys, start, windows, place, more, text, *known = unpack(x.as_py())
+            parts.append((np.cumsum(ids), keys, np.cumsum(start), windows.astype(np.int64), place.astype(np.int64), more.astype(np.int64) + windows + (length - 1), text, *known))
+        ids, keys, start, windows, place, size, text, *known = map(np.concatenate, zip(*parts, strict=True))
         del parts
-        start, windows, place, size = (x.astype(np.int64) for x in (start, windows, place, size))
-        out = [(k_ids, k_keys, k_start, k_length)]
+        out = [tuple(known)]
         left = np.cumsum(size) - size
-        keep, content, check = compare.candidates(text, left, size, windows, place)  # stretches that may repeat
-        if len(keep):
+        keep, content, check = compare.candidates(text, left, size, windows, place) if len(ids) else (np.zeros(0, np.int64),) * 3
+        if len(keep):  # stretches that may repeat
             windows, ids, keys, start = windows[keep], ids[keep], keys[keep], start[keep]
             by = np.lexsort((keys, ids, check, content))
             head = np.r_[True, (content[by][1:] != content[by][:-1]) | (check[by][1:] != check[by][:-1])]
@@ -203,29 +235,86 @@ def _resolve(compare: Callable, length: int) -> Callable:
         row = np.cumsum(np.r_[0, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]) if len(ids) else np.zeros(0, np.int64)
         at, start, span = merged(row, start, span)
         first = np.searchsorted(row, at)
-        return pa.table([pa.array(x, pa.int64()) for x in (ids[first], keys[first], start, span)], names=["doc_id", "text_key", "start", "length"])
+        ids, keys = ids[first], keys[first]
+        by, names, at = dealt(ids, n_buckets)
+        packed = [pack(*(x[by[at[k] : at[k + 1]]] for x in (ids, keys, start, span))) for k in range(len(names))]
+        return pa.table([pa.array(names, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "payload"])
 
     return resolve
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, text. The key is 0 where ids are unique, else it tells apart the texts of an id."""
+    """docs with text_key: 0 where ids are unique, else it tells apart the texts of an id."""
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1)
     key = S.text_key(docs).bitwiseAND(0x7FFFFFFF) if twice.head() else F.lit(0).cast("long")
     return docs.withColumn("text_key", key)
 
 
-def repeated_ranges(docs: DataFrame, units: Units, compare, length: int, gram: int) -> DataFrame:
-    """doc_id, text_key, start, length of what windows cover that start in a document with a smaller doc_id too."""
+def _rows(n_buckets: int) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in loads(batches):
+            ids = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy()
+            by, names, at = dealt(ids, n_buckets)
+            batch = batch.take(pa.array(by))
+            for part in range(0, len(names), 32):
+                out = []
+                for k in range(part, min(part + 32, len(names))):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as writer:
+                        writer.write_batch(pa.Table.from_batches([batch.slice(at[k], at[k + 1] - at[k])]).combine_chunks().to_batches()[0])
+                    out.append(zstandard.ZstdCompressor(level=3).compress(sink.getvalue()))
+                yield pa.record_batch([pa.array(names[part : part + 32], pa.int32()), pa.array(out, pa.binary())], names=["bucket", "payload"])
+
+    return rows
+
+
+def _join(units: Units, cut: Callable) -> Callable:
+    """cut(data, begin, end, bounds, mask) -> columns by name; mask: the units to remove."""
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        tables = [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x.as_py())).read_all() for x in left.column("payload")]
+        rows = pa.concat_tables(tables).combine_chunks()
+        found = [unpack(x.as_py()) for x in right.column("payload")]
+        data, offsets = S.text_column(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
+        _, bounds, begin, end = units(data, offsets)
+        step = np.zeros(len(begin) + 1, np.int32)
+        if found and rows.num_rows:
+            ids, keys, start, span = map(np.concatenate, zip(*found, strict=True))
+            valid = rows.column("doc_id").is_valid().to_numpy()
+            own = rows.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy()
+            own_keys = rows.column("text_key").to_numpy()
+            pair = lambda a, b: np.rec.fromarrays([a, b])
+            order = np.lexsort((keys, ids))
+            table = pair(ids[order], keys[order])
+            need = np.flatnonzero(valid)
+            lo = np.searchsorted(table, pair(own[need], own_keys[need]))
+            hi = np.searchsorted(table, pair(own[need], own_keys[need]), side="right")
+            x = order[S.ranges(lo, hi - lo)]
+            base = np.repeat(bounds[need], hi - lo)
+            np.add.at(step, base + start[x], 1)
+            np.add.at(step, base + start[x] + span[x], -1)
+        made = cut(data, begin, end, bounds, np.cumsum(step[:-1]) > 0)
+        rows = rows.drop_columns(["text", "text_key"])
+        return pa.table([*rows.columns, *made.values()], names=[*rows.column_names, *made])
+
+    return join
+
+
+def without_repeats(docs: DataFrame, units: Units, compare, cut: Callable, made: str, length: int, gram: int, carry: list[str]) -> DataFrame:
+    """docs' rows with what cut() makes of the units that no repeated window covers.
+
+    A window is repeated if it also starts in a document with a smaller doc_id.
+    """
     spark = docs.sparkSession
     S.prepare(spark)
+    n = S.buckets(spark)
+    carry = [c for c in carry if c not in ("doc_id", "text")]
+    docs = keyed(docs.select("doc_id", "text", *carry))
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text_key", "text")
     common = spark.sparkContext.broadcast(common_cells(rows, units))
-    sent = rows.mapInArrow(_send(units, common, length, gram, S.buckets(spark)), SENT)
-    return sent.groupBy("bucket").applyInArrow(_resolve(compare, length), FOUND)
-
-
-def with_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with a column `spans`, an array of (start, length) in order; null where there is none."""
-    spans = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
-    return docs.join(spans, ["doc_id", "text_key"], "left")
+    sent = rows.mapInArrow(_send(units, common, length, gram, n), SENT)
+    found = sent.groupBy("bucket").applyInArrow(_resolve(compare, length, n), SENT)
+    dealt_rows = docs.mapInArrow(_rows(n), SENT)
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)), made])
+    return dealt_rows.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_join(units, cut), schema)

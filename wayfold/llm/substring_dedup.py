@@ -8,8 +8,6 @@ class share that window. Runs of such windows are the maximal repeats.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +15,6 @@ from pyspark.sql import functions as F
 
 from . import _repeats as R
 from . import _shared as S
-from .suffix_dedup import span_mask
 
 GRAM = 8
 
@@ -33,9 +30,14 @@ class WordWindows:
 
     def _words(self, text, left, size):
         """Hashes of the words of the stretches, one stretch after another, and where each begins."""
-        data = text[S.ranges(left, size)]
-        starts, ends, bounds = S.word_bounds(data, np.r_[0, np.cumsum(size)])
-        return S.span_hashes(data, starts, ends), bounds
+        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+        offsets = np.r_[0, np.cumsum(size)]
+        for a, b in S.chunks(offsets):
+            data = text[S.ranges(left[a:b], size[a:b])]
+            starts, ends, bounds = S.word_bounds(data, offsets[a : b + 1] - offsets[a])
+            hashes.append(S.span_hashes(data, starts, ends))
+            counts.append(np.diff(bounds))
+        return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
     def candidates(self, text, left, size, windows, place):
         words, bounds = self._words(text, left, size)
@@ -85,23 +87,16 @@ class WordWindows:
         return flags
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = batch.column(batch.schema.get_field_index("text"))
-        data, offsets = S.text_column(text)
-        starts, ends, bounds = S.word_bounds(data, offsets)
-        mask = span_mask(batch.column(batch.schema.get_field_index("spans")), bounds[:-1], len(starts))
-        taken = np.r_[0, np.cumsum(mask)]
-        a, b = starts[~mask], ends[~mask]
-        size = b - a + 1  # with a space after each word but a row's last
-        kept = np.full(int(size.sum()), 32, np.uint8)
-        after = np.cumsum(size)
-        kept[S.ranges(after - size, size - 1)] = data[S.ranges(a, size - 1)]
-        at = np.r_[0, after][bounds - taken[bounds]]
-        rows = [kept[x : max(x, y - 1)].tobytes().decode() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        cols = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n not in ("text", "spans", "text_key")]
-        names = [n for n in batch.schema.names if n not in ("text", "spans", "text_key")]
-        yield pa.record_batch([*cols, pa.array(rows, pa.string()), pa.array(np.diff(bounds)), pa.array(np.diff(taken[bounds]))], names=[*names, "kept", "n_words", "n_removed"])
+def cut_words(data, begin, end, bounds, mask) -> dict[str, pa.Array]:
+    taken = np.r_[0, np.cumsum(mask)]
+    a, b = begin[~mask], end[~mask]
+    size = b - a + 1  # with a space after each word but a row's last
+    kept = np.full(int(size.sum()), 32, np.uint8)
+    after = np.cumsum(size)
+    kept[S.ranges(after - size, size - 1)] = data[S.ranges(a, size - 1)]
+    at = np.r_[0, after][bounds - taken[bounds]]
+    rows = [kept[x : max(x, y - 1)].tobytes().decode() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return {"kept": pa.array(rows, pa.string()), "n_words": pa.array(np.diff(bounds)), "n_removed": pa.array(np.diff(taken[bounds]))}
 
 
 def dedup_words(docs: DataFrame, length: int = 50, carry: list[str] | None = None) -> DataFrame:
@@ -113,13 +108,8 @@ def dedup_words(docs: DataFrame, length: int = 50, carry: list[str] | None = Non
     a null doc_id is returned whole and removes nothing; rows that share a
     doc_id do not remove each other's words. An empty table gives an empty table.
     """
-    carry = carry or []
-    docs = R.keyed(docs.select("doc_id", *carry, "text"))
-    found = R.repeated_ranges(docs, word_units, WordWindows(length), length, GRAM)
-    rows = R.with_ranges(docs, found)
-    kinds = dict(docs.dtypes)
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns if c not in ("text", "spans", "text_key"))
-    return rows.mapInArrow(_cut, f"{head}, kept string, n_words long, n_removed long")
+    made = "kept string, n_words long, n_removed long"
+    return R.without_repeats(docs, word_units, WordWindows(length), cut_words, made, length, GRAM, carry or [])
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

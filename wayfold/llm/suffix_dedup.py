@@ -8,8 +8,6 @@ neighbours in the order then show which windows repeat.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +30,32 @@ def byte_units(data: np.ndarray, offsets: np.ndarray):
     return grams, offsets, at, at + 1
 
 
-def two_stage_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order. symbols: int16, each string ended by a 0; ties beyond `depth` symbols may stand in any order."""
+def sort_suffixes(eight: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes at `at` by their first `depth` bytes and more, 8 at a time; only ties are looked at again."""
+    at = at[np.argsort(eight[at].astype(np.uint64), kind="stable")]
+    key = eight[at].astype(np.uint64)
+    head = np.r_[True, key[1:] != key[:-1]] if len(at) else np.zeros(0, bool)
+    for k in range(8, depth, 8):
+        tied = np.flatnonzero(~head | ~np.r_[head[1:], True])
+        if not len(tied):
+            break
+        group = np.cumsum(head[tied] | np.r_[True, np.diff(tied) > 1])
+        key = eight[at[tied] + k].astype(np.uint64)
+        order = np.argsort(key)
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
+        both = group * (rank.max() + 1) + rank
+        order = np.argsort(both)
+        at[tied] = at[tied][order]
+        head[tied] |= np.r_[True, np.diff(both[order]) != 0]
+    return at
+
+
+def two_stage_order(symbols: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes in order. symbols: int16, each string ended by a 0; ties beyond `depth` symbols may stand in any order.
+
+    wanted: places to order at least (all, by default); besides them, only the suffixes that induce them are ordered.
+    """
     n = len(symbols)
     change = np.flatnonzero(symbols[1:] != symbols[:-1])
     small = np.ones(n, bool)  # type S; a run of equal symbols has the type of its last one
@@ -41,8 +63,13 @@ def two_stage_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     padded = np.zeros(n + depth + 16, np.uint8)
     padded[:n] = np.maximum(symbols - 1, 0)
     eight = words8(padded)
-    direct = np.flatnonzero(small & (symbols > 0))
-    direct = direct[np.lexsort([eight[direct + k] for k in range((depth - 1) // 8 * 8, -1, -8)])]
+    need = np.ones(n, bool) if wanted is None else wanted.copy()
+    if wanted is not None:  # a type-L suffix is induced by the next one, and so on up to a type S
+        stops = np.where(small, np.arange(n), n)
+        stops = np.minimum.accumulate(stops[::-1])[::-1]
+        last = np.flatnonzero(wanted & ~np.r_[wanted[1:], False])
+        need[S.ranges(last, stops[last] - last + 1)] = True
+    direct = sort_suffixes(eight, np.flatnonzero(need & small & (symbols > 0)), depth)
     first = symbols[direct]
     waiting: dict[int, list[np.ndarray]] = {}
     out = []
@@ -51,7 +78,7 @@ def two_stage_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         """Put the type-L suffixes before these in their buckets; return those of this bucket."""
         out.append(placed)
         before = placed[placed > 0] - 1
-        before = before[~small[before]]
+        before = before[~small[before] & need[before]]
         if not len(before):
             return before
         to = symbols[before]
@@ -66,7 +93,7 @@ def two_stage_order(symbols: np.ndarray, depth: int) -> np.ndarray:
                 waiting.setdefault(name, []).append(part)
         return here
 
-    scan(np.flatnonzero(symbols == 0), 0)
+    scan(np.flatnonzero(need & (symbols == 0)), 0)
     for bucket in range(1, 257):
         level = np.concatenate(waiting.pop(bucket)) if bucket in waiting else direct[:0]
         while len(level):
@@ -133,10 +160,10 @@ class ByteWindows:
         at = ends - size - 1
         symbols = np.zeros(int(ends[-1]), np.int16)
         symbols[S.ranges(at, size)] = text[S.ranges(left, size)].astype(np.int16) + 1
-        order = two_stage_order(symbols, self.length)
         real = np.zeros(len(symbols), np.int64)
         places = S.ranges(at, windows)
         real[places] = np.repeat(doc, windows) + 1 - doc.min()
+        order = two_stage_order(symbols, self.length, real > 0)
         order = order[real[order] > 0]  # starts of windows
         padded = np.zeros(len(symbols) + 64, np.uint8)
         padded[: len(symbols)] = np.maximum(symbols - 1, 0)
@@ -148,37 +175,16 @@ class ByteWindows:
         return flags[places]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = batch.column(batch.schema.get_field_index("text"))
-        data, offsets = S.text_column(text)
-        mask = span_mask(batch.column(batch.schema.get_field_index("spans")), offsets[:-1], len(data))
-        taken = np.r_[0, np.cumsum(mask)]
-        first = mask & ~np.r_[False, mask[:-1]]
-        cuts = offsets[1:-1]
-        cuts = cuts[cuts < len(data)]
-        first[cuts] = mask[cuts]
-        runs = np.r_[0, np.cumsum(first)]
-        kept = data[~mask].tobytes()
-        at = offsets - taken[offsets]
-        new = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(kept)])
-        cols = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n not in ("text", "spans", "text_key")]
-        names = [n for n in batch.schema.names if n not in ("text", "spans", "text_key")]
-        yield pa.record_batch([*cols, new, pa.array(np.diff(offsets)), pa.array(np.diff(taken[offsets])), pa.array(np.diff(runs[offsets]))], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
-
-
-def span_mask(spans: pa.Array, base: np.ndarray, n: int) -> np.ndarray:
-    """True where a unit lies in a span of its row; base: the rows' first units."""
-    sizes = np.diff(np.asarray(spans.offsets, dtype=np.int64)) if len(spans) else np.zeros(0, np.int64)
-    flat = spans.flatten()
-    if spans.null_count:
-        sizes = np.where(np.asarray(spans.is_valid()), sizes, 0)
-    step = np.zeros(n + 1, np.int32)
-    if len(flat):
-        start = flat.field(0).to_numpy() + np.repeat(base, sizes)
-        np.add.at(step, start, 1)
-        np.add.at(step, start + flat.field(1).to_numpy(), -1)
-    return np.cumsum(step[:n]) > 0
+def cut_bytes(data, begin, end, bounds, mask) -> dict[str, pa.Array]:
+    taken = np.r_[0, np.cumsum(mask)]
+    first = mask & ~np.r_[False, mask[:-1]]
+    cuts = bounds[1:-1]
+    cuts = cuts[cuts < len(data)]
+    first[cuts] = mask[cuts]  # a run ends with its row
+    runs = np.r_[0, np.cumsum(first)]
+    at = bounds - taken[bounds]
+    kept = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(data[~mask].tobytes())])
+    return {"kept": kept.cast(pa.binary()), "n_bytes": pa.array(np.diff(bounds)), "n_removed": pa.array(np.diff(taken[bounds])), "n_spans": pa.array(np.diff(runs[bounds]))}
 
 
 def dedup_bytes(docs: DataFrame, length: int = 50, carry: list[str] | None = None) -> DataFrame:
@@ -190,13 +196,8 @@ def dedup_bytes(docs: DataFrame, length: int = 50, carry: list[str] | None = Non
     returned whole and removes nothing; rows that share a doc_id do not remove
     each other's bytes. An empty table gives an empty table.
     """
-    carry = carry or []
-    docs = R.keyed(docs.select("doc_id", *carry, "text"))
-    found = R.repeated_ranges(docs, byte_units, ByteWindows(length), length, GRAM)
-    rows = R.with_ranges(docs, found)
-    kinds = dict(docs.dtypes)
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns if c not in ("text", "spans", "text_key"))
-    return rows.mapInArrow(_cut, f"{head}, kept binary, n_bytes long, n_removed long, n_spans long")
+    made = "kept binary, n_bytes long, n_removed long, n_spans long"
+    return R.without_repeats(docs, byte_units, ByteWindows(length), cut_bytes, made, length, GRAM, carry or [])
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
