@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op7_decontamination
 from .license_scan import op10_license_scan
 from .near_dedup import op5_near_dedup
 from .packing import op6_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
+    "op7_decontamination": op7_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
 }
