@@ -108,5 +108,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.select("doc_id", "item_id", "x.n_windows", "x.item_windows", F.round(F.col("x.n_windows") / F.col("x.item_windows"), 6).alias("coverage"), "x.reparameterised")
 
 
+def clean_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, in which contaminated() finds no benchmark item."""
+    found = S.staged(contaminated(docs, benchmark).select(F.col("doc_id").alias("_found")).distinct(), "contaminated")
+    return docs.join(found, F.col("doc_id") == F.col("_found"), "left_anti")
+
+
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

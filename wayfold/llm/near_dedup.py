@@ -31,8 +31,8 @@ M = BANDS * ROWS
 B, RATE, Q = 1.08, 20.0, 254
 #: Band values that up to so many nodes share are compared pair by pair.
 SMALL = 8
-#: Estimates further below the threshold are not verified: over four and a half standard errors.
-MARGIN = 0.13
+#: Estimates further below the threshold are not verified: five standard errors.
+MARGIN = 0.16
 
 _FACTORS = np.random.default_rng(11).integers(0, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -228,6 +228,17 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates() keeps: of each group that of the smallest doc_id.
+
+    Rows that repeat both doc_id and text are kept or dropped together.
+    """
+    kept = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select("doc_id", "text_key").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), S.text_key(docs).alias("text_key"))
+    nameless = rows.where("doc_id is null").select("row.*")
+    return rows.join(S.staged(kept, "kept"), ["doc_id", "text_key"], "left_semi").select("row.*").union(nameless)
+
+
 def _by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes (node, label) with different labels that share one of their rarest shingles, as linked ones must."""
     tokens = S.staged(sets.join(nodes, "node", "left_semi").mapInArrow(_explode_set, "node long, shingle long"), "tokens")

@@ -151,6 +151,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", car
     return out.select("doc_id", *back, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of docs that quality_rules() keeps, as they are, with all their columns.
+
+    The rows are written once with their counts, so the text is neither counted
+    nor dealt a second time once the cutoffs are known.
+    """
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("\0")).alias("stratum"))
+    features = base_features(rows).select("row", "doc_id", "stratum", "scores", "base_failed")
+    features = S.staged(features, "quality-rows")
+    return apply_cutoffs(features, certified_cutoffs(features, labels, alpha, delta)).where("kept").select("row.*")
+
+
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 

@@ -200,6 +200,19 @@ def dedup_bytes(docs: DataFrame, length: int = 50, carry: list[str] | None = Non
     return R.without_repeats(docs, byte_units, ByteWindows(length), cut_bytes, made, length, GRAM, carry or [])
 
 
+def _cut_text(data, begin, end, bounds, mask) -> dict[str, pa.Array]:
+    kept = cut_bytes(data, begin, end, bounds, mask)["kept"]
+    return {"text": pa.array([x.as_buffer().to_pybytes().decode("utf-8", "ignore") for x in kept], pa.string())}
+
+
+def dedup_texts(docs: DataFrame, length: int = 50, carry: list[str] | None = None) -> DataFrame:
+    """dedup_bytes() with the remaining text in place of bytes: what is left of a character that was cut is dropped.
+
+    Returns doc_id, the carried columns and text; a null text becomes empty.
+    """
+    return R.without_repeats(docs, byte_units, ByteWindows(length), _cut_text, "text string", length, GRAM, carry or [])
+
+
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
