@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op7_decontamination
+from .html_extraction import op4_html_extraction
 from .license_scan import op10_license_scan
 from .near_dedup import op5_near_dedup
 from .packing import op6_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_html_extraction": op4_html_extraction,
     "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
