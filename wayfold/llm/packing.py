@@ -21,14 +21,45 @@ from . import _shared as S
 
 SIZE = 2048
 #: Pieces of one length that are ranked in one task at most, about.
-RANKED = 1 << 16
+RANKED = 1 << 10
 #: Words whose ids a worker keeps.
 CACHED = 1 << 20
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[k for k in range(33, 127) if not chr(k).isalnum() and chr(k) != "'"]] = True
+
+
+def units(data: np.ndarray, offsets: np.ndarray):
+    """The bytes to encode and the starts, ends and row offsets of what is encoded by itself.
+
+    The tokenizer lowers case and divides at white space and between a letter or
+    digit and the marks behind it, so a word and its closing marks are two units.
+    Text that may hold a special token's string is left as it is.
+    """
+    starts, ends, bounds = S.word_bounds(data, offsets)
+    if b"<|" in memoryview(np.ascontiguousarray(data)).tobytes():
+        return data, starts, ends, bounds
+    data = _LOWER[data]
+    other = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data))))
+    core = other[ends - 1] + 1
+    two = (core > starts) & (core < ends)
+    two[two] = _ALNUM[data[core[two] - 1]]
+    at = np.arange(len(starts)) + np.cumsum(two) - two
+    n = len(starts) + int(two.sum())
+    a, b = np.empty(n, np.int64), np.empty(n, np.int64)
+    a[at], b[at] = starts, np.where(two, core, ends)
+    a[at[two] + 1], b[at[two] + 1] = core[two], ends[two]
+    return data, a, b, np.r_[at, n][bounds]
+
+
 class WordIds:
-    """Ids of words. The tokenizer never joins what white space divides, so each distinct word is encoded once."""
+    """Ids of units, which the tokenizer never joins, so each distinct one is encoded once."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,7 +83,7 @@ class WordIds:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each closed by a 0, and the rows' offsets in them."""
-        starts, ends, bounds = S.word_bounds(data, offsets)
+        data, starts, ends, bounds = units(data, offsets)
         hashes = np.concatenate([np.zeros(0, np.uint64), *(S.span_hashes(data[offsets[a] : offsets[b]], starts[bounds[a] : bounds[b]] - offsets[a], ends[bounds[a] : bounds[b]] - offsets[a]) for a, b in S.chunks(offsets))])
         keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > CACHED:
