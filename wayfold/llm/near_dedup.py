@@ -10,8 +10,9 @@ verified on the full sets, and the links' components name the groups.
 Documents with the same set are one node from the start. A band value that few
 nodes share is compared pair by pair; of a hot one, all nodes are compared with
 the least document's. Where that leaves a hot value with several components,
-their nodes are joined by prefix filter: two sets that meet the threshold share
-a shingle among their rarest ones, which is exact and needs no bound on the group.
+their nodes are joined by prefix and position: two sets that meet the threshold
+share a shingle among their rarest ones, and enough stands behind the first that
+they share. That is exact and needs no bound on the group.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ M = BANDS * ROWS
 B, RATE, Q = 1.08, 20.0, 254
 #: Band values that up to so many nodes share are compared pair by pair.
 SMALL = 8
+#: Nodes (three numbers each) that are sent to all tasks to pick their texts; for more, the texts are dealt by a shuffle.
+WANTED_SENT = 1_000_000
 #: Estimates further below the threshold are not verified: five standard errors.
 MARGIN = 0.16
 
@@ -205,7 +208,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     # full sets of the nodes that are to be verified, or that stand in a hot band value
     wanted = pairs.select("a").union(pairs.select("b")).union(members.where(F.col("many") > SMALL).select("node")).toDF("node").distinct()
     wanted = S.staged(wanted.join(nodes.select("node", "doc_id", "text_key"), "node"), "wanted")
-    texts = docs.where("doc_id is not null").join(wanted, ["doc_id", "text_key"]).select("node", "text")
+    few_rows = wanted.limit(WANTED_SENT + 1).count() <= WANTED_SENT
+    texts = docs.where("doc_id is not null").join(F.broadcast(wanted) if few_rows else wanted, ["doc_id", "text_key"]).select("node", "text")
     sets = S.staged(texts.mapInArrow(_sets(size), "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     def verified(these: DataFrame) -> DataFrame:
@@ -247,12 +251,15 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = Window.partitionBy("node")
     ranked = ranked.withColumns({"rank": F.row_number().over(own.orderBy("often", "shingle")), "n": F.count("*").over(own)})
     prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).where("often > 1")
-    prefix = S.staged(prefix.select("shingle", "node", "n").join(nodes, "node"), "prefix")
+    prefix = S.staged(prefix.select("shingle", "node", "n", "rank").join(nodes, "node"), "prefix")
     # at each shingle, one of a pair is outside the label that most nodes there have
     most = prefix.groupBy("shingle", "label").agg(F.count("*").alias("many")).groupBy("shingle").agg(F.max_by("label", F.struct("many", "label")).alias("most"))
     minor = S.staged(prefix.join(most, "shingle").where("label <> most"), "minor")
-    x, y = minor.select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("node", "label", "n"))), prefix.select("shingle", *(F.col(c).alias(f"{c}_y") for c in ("node", "label", "n")))
-    pairs = x.join(y, "shingle").where(f"label_x <> label_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
+    own = ("node", "label", "n", "rank")
+    x, y = minor.select("shingle", *(F.col(c).alias(f"{c}_x") for c in own)), prefix.select("shingle", *(F.col(c).alias(f"{c}_y") for c in own))
+    # from their first common shingle on, two sets share no more than the shorter rest
+    enough = f"{100 + percent} * (1 + least(n_x - rank_x, n_y - rank_y)) >= {percent} * (n_x + n_y)"
+    pairs = x.join(y, "shingle").where(f"label_x <> label_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y) and {enough}")
     return S.staged(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), "pairs")
 
 
