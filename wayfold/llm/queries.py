@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op7_decontamination
 from .html_extraction import op4_html_extraction
 from .license_scan import op10_license_scan
+from .lm_scoring import op8_lm_scoring
 from .near_dedup import op5_near_dedup
 from .packing import op6_packing
 from .quality_rules import OP1_SQL, op1_quality_rules
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_near_dedup": op5_near_dedup,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_license_scan": op10_license_scan,
 }
