@@ -160,10 +160,10 @@ def dedup_consecutive(spark, d):
 # graph
 
 
-@query("SELECT u AS segment, list(v ORDER BY v) AS successors, len(list(v)) AS n FROM (SELECT a.u || '__' || a.v || '__0' AS u, b.u || '__' || b.v || '__0' AS v FROM edge a JOIN edge b ON a.v = b.u) GROUP BY u")
+@query("SELECT u AS segment, string_agg(v, ',' ORDER BY v) AS successors, count(*) AS n FROM (SELECT a.u || '__' || a.v || '__0' AS u, b.u || '__' || b.v || '__0' AS v FROM edge a JOIN edge b ON a.v = b.u) GROUP BY u")
 def successor_graph(spark, d):
     roads = W.public_edges(spark).select(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(0).alias("key"))
-    return graph.line_graph(roads).withColumn("n", F.size("successors").cast("long"))
+    return graph.line_graph(roads).select("segment", F.array_join("successors", ",").alias("successors"), F.size("successors").cast("long").alias("n"))
 
 
 @query("SELECT src, dst, arg_min(key, (length, key)) AS key, min(length) AS length FROM (SELECT l_suppkey % 20 AS src, l_partkey % 20 AS dst, CAST(l_linenumber AS INTEGER) AS key, CASE WHEN l_quantity > 45 THEN 1e0 ELSE l_quantity END AS length FROM lineitem) GROUP BY src, dst")
