@@ -88,30 +88,32 @@ def _sketches(size: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = S.text_column(batch.column(2))
-            count, first, second, regs, bands = [], [], [], [], []
+            count, first, second, regs = [], [], [], []
             for x in shingle_sets(data, offsets, size):
                 count.append(len(x))
                 first.append(int(np.add.reduce(S.mix(x + np.uint64(1)))) if len(x) else 0)
                 second.append(int(np.add.reduce(S.mix(x * np.uint64(S._BASE)))) if len(x) else 0)
                 regs.append(sketch(x) if len(x) else None)
-            some = [r for r in regs if r is not None]
-            keys = S.gram_hashes(np.zeros(0, np.uint64), 1)
-            if some:
-                table = np.array(some).reshape(len(some), BANDS, ROWS).astype(np.uint64)
-                keys = np.zeros((len(some), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-                for j in range(ROWS):
-                    keys = S.mix(keys * np.uint64(S._BASE) + table[:, :, j] + np.uint64(1))
-            rows = iter(keys.view(np.int64).tolist())
-            bands = [None if r is None else next(rows) for r in regs]
             node = S.mix(np.array(first, np.uint64) ^ S.mix(np.array(second, np.uint64)) + np.array(count, np.uint64)).view(np.int64)
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array([n if c else None for n, c in zip(node.tolist(), count, strict=True)], pa.int64()), pa.array([None if r is None else r.tobytes() for r in regs], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "n_shingles", "node", "sketch", "bands"],
+                [batch.column(0), batch.column(1), pa.array(count, pa.int64()), pa.array([n if c else None for n, c in zip(node.tolist(), count, strict=True)], pa.int64()), pa.array([None if r is None else r.tobytes() for r in regs], pa.binary())],
+                names=["doc_id", "text_key", "n_shingles", "node", "sketch"],
             )
 
     return make
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, doc_id, band: a row for each band of a sketch, named by a hash of the band's place and registers."""
+    for batch in batches:
+        table = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BANDS, ROWS).astype(np.uint64)
+        keys = np.zeros((len(table), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+        for j in range(ROWS):
+            keys = S.mix(keys * np.uint64(S._BASE) + table[:, :, j] + np.uint64(1))
+        at = pa.array(np.repeat(np.arange(len(table)), BANDS))
+        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(keys.view(np.int64).ravel())], names=["node", "doc_id", "band"])
+
+
 def _sets(size: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,12 +191,12 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     spark = docs.sparkSession
     S.prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), S.text_key(docs).alias("text_key"), "text")
-    kinds = "doc_id long, text_key long, n_shingles long, node long, sketch binary, bands array<long>"
+    kinds = "doc_id long, text_key long, n_shingles long, node long, sketch binary"
     rows = S.staged(docs.mapInArrow(_sketches(size), kinds), "sketches")
     known = rows.where("doc_id is not null and node is not null")
     # one node for each distinct set: its least document, its sketch
-    nodes = S.staged(known.groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "n_shingles")).alias("x"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")).select("node", "x.*", "sketch", "bands"), "nodes")
-    dealt = nodes.select("node", "doc_id", F.explode("bands").alias("band"))
+    nodes = S.staged(known.groupBy("node").agg(F.min(F.struct("doc_id", "text_key", "n_shingles")).alias("x"), F.first("sketch").alias("sketch")).select("node", "x.*", "sketch"), "nodes")
+    dealt = nodes.select("node", "doc_id", "sketch").mapInArrow(_bands, "node long, doc_id long, band long")
     shared = S.staged(dealt.groupBy("band").agg(F.count("*").alias("many"), F.min(F.struct("doc_id", "node")).alias("lead")).where("many > 1").select("band", "many", F.col("lead.node").alias("lead")), "bands")
     members = S.staged(dealt.join(shared, "band").select("band", "many", "lead", "node"), "members")
     few = members.where(F.col("many") <= SMALL).select("band", "node")

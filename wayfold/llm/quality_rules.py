@@ -154,13 +154,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", car
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of docs that quality_rules() keeps, as they are, with all their columns.
 
-    The rows are written once with their counts, so the text is neither counted
-    nor dealt a second time once the cutoffs are known.
+    Texts are counted once; the rows are then picked by doc_id, text and stratum.
     """
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("\0")).alias("stratum"))
-    features = base_features(rows).select("row", "doc_id", "stratum", "scores", "base_failed")
-    features = S.staged(features, "quality-rows")
-    return apply_cutoffs(features, certified_cutoffs(features, labels, alpha, delta)).where("kept").select("row.*")
+    key = {"_id": F.col("doc_id"), "_text": F.xxhash64("text"), "_stratum": F.coalesce(F.col(stratum).cast("string"), F.lit("\0"))}
+    rows = docs.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in key.items()))
+    counted = base_features(docs.select("doc_id", "text", *(c.alias(k) for k, c in key.items()), key["_stratum"].alias("stratum")))
+    features = S.staged(counted.select(*key, "doc_id", "stratum", "scores", "base_failed"), "quality-features")
+    good = apply_cutoffs(features, certified_cutoffs(features, labels, alpha, delta)).where("kept").select(*key).distinct()
+    good = S.staged(good, "quality-kept").toDF("_id2", "_text2", "_stratum2")
+    same = F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_text") == F.col("_text2")) & (F.col("_stratum") == F.col("_stratum2"))
+    return rows.join(good, same, "left_semi").select("row.*")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
