@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import _shared as S
 
 #: Pages of one host and of so many successive page ids are one group, so a group is bounded.
-BLOCK = 4096
+BLOCK = 512
 #: Pages whose template is deduced together at most.
 TOGETHER = 64
 
