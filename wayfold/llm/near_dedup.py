@@ -256,6 +256,7 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     prefix = S.staged(prefix.select("shingle", "node", "n", "rank").join(nodes, "node"), "prefix")
     # at each shingle, one of a pair is outside the label that most nodes there have
     most = prefix.groupBy("shingle", "label").agg(F.count("*").alias("many")).groupBy("shingle").agg(F.max_by("label", F.struct("many", "label")).alias("most"))
+    most = S.staged(most, "most")  # so that the join below is one that Spark can split where a shingle is hot
     minor = S.staged(prefix.join(most, "shingle").where("label <> most"), "minor")
     own = ("node", "label", "n", "rank")
     x, y = minor.select("shingle", *(F.col(c).alias(f"{c}_x") for c in own)), prefix.select("shingle", *(F.col(c).alias(f"{c}_y") for c in own))
