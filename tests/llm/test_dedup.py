@@ -1,11 +1,12 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 import numpy as np
 from wayfold.llm import near_dedup, suffix_dedup
 from wayfold.llm.near_dedup import near_duplicates
-from wayfold.llm.substring_dedup import dedup_words
+from wayfold.llm.substring_dedup import dedup_words, word_units
 from wayfold.llm.suffix_dedup import dedup_bytes, dedup_texts
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -54,6 +55,28 @@ def test_bytes(docs, corpus, none):
     assert dedup_bytes(none).count() == 0
 
 
+def twice_within(make, units, sep):
+    """Two documents that share 52 units, of which a gram stands twice within 43; other grams around make each its least one's place."""
+    order = lambda u: int(units(np.frombuffer(sep.join(u).encode(), np.uint8), np.array([0, len(sep.join(u))]))[0][0]) >> 1
+    least, next_ = sorted((make(8) for _ in range(20000)), key=order)[:2]
+    core = make(10) + next_ + make(17) + next_ + make(9)
+    return [(k, sep.join(make(30) + least + make(gap) + core + make(1) + least + make(30)).encode()) for k, gap in enumerate((4, 0))]
+
+
+def test_a_gram_twice_in_a_window(spark):
+    rng = random.Random(8)
+    rows = twice_within(lambda n: [chr(rng.randrange(33, 127)) for _ in range(n)], suffix_dedup.byte_units, "")
+    got = {r.doc_id: r.n_removed for r in dedup_bytes(spark.createDataFrame([(d, t.decode()) for d, t in rows], "doc_id long, text string")).collect()}
+    assert got == {d: sum(f) for d, f in brute(rows, None, 50)} == {0: 0, 1: 52}
+
+
+def test_words_twice_in_a_window(spark):
+    rng = random.Random(8)
+    rows = [(d, t.decode()) for d, t in twice_within(lambda n: [f"w{rng.randrange(9999)}" for _ in range(n)], word_units, " ")]
+    got = {r.doc_id: r.n_removed for r in dedup_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: sum(f) for d, f in brute([(d, t.split()) for d, t in rows], None, 50)} == {0: 0, 1: 52}
+
+
 def test_texts_stay_text(docs):
     for r in dedup_texts(docs).collect():
         assert "�" not in r.text

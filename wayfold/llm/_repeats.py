@@ -73,8 +73,13 @@ def stretches(grams: np.ndarray, bounds: np.ndarray, common: np.ndarray, length:
     for k in range(0, len(other), 1 << 14):
         some = other[k : k + (1 << 14)]
         place[some] = (order[start[some][:, None] + np.arange(width)] == least[start[some]][:, None]).argmax(1)
-    if (windows > place + 1).any():  # text that repeats within itself: cut, and mark that windows may hold the gram elsewhere
-        loose = windows > place + 1
+    # where a window holds its gram twice, copies after other contexts may have the other one as their place
+    around = S.sliding(np.pad(least, width - 1), width, np.maximum)
+    at = np.flatnonzero(order == around)  # places that are the least of some window; equal ones within a window are neighbours here
+    again = np.flatnonzero((order[at[1:]] == order[at[:-1]]) & (np.diff(at) < width))
+    twice = np.searchsorted(at[again + 1], start + windows + width - 2, side="right") > np.searchsorted(at[again], start)
+    loose = twice | (windows > place + 1)
+    if loose.any():  # text that repeats within itself: cut, and mark that windows may hold the gram elsewhere
         pieces = np.where(loose, (windows + width - 1) // width, 1)
         at = np.repeat(np.arange(len(start)), pieces)
         k = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)

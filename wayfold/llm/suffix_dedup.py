@@ -138,6 +138,8 @@ class ByteWindows:
         steps = [*range(GRAM, half + GRAM - 8, 8), half + GRAM - 8]
         for has, offsets in (((place >= half) & ~free, [-half, *(k - half - GRAM + 8 for k in steps), 0]), ((place + GRAM + half <= size) & ~free, [0, *steps])):
             x = np.flatnonzero(has)
+            if not len(x):
+                continue
             key = np.zeros(len(x), np.uint64)
             for k in offsets:
                 key = S.mix(key * np.uint64(S._BASE) + eight[at[x] + k].astype(np.uint64))
