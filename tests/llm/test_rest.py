@@ -161,6 +161,17 @@ def test_decontamination(spark, docs, none):
     assert contaminated(none, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_slots_and_short_items(spark):
+    """Items of numbers and names, and short ones, as they stand; values that two slots share in the copy."""
+    items = [(1, "Compute 12 + 7 - 3 * 4"), (2, "Zoe met"), (3, "11 12 13 14 15 16 17 18 19 20"), (4, "the old merchant sold 3 ropes and then 4 more ropes went away"), (5, " .!"), (6, "the young sailor sold 3 boats and then 3 more boats went away")]
+    docs = [(1, "so: Compute 12 + 7 - 3 * 4, please"), (2, "compute 12 7 3 5"), (3, "When zoe met him"), (4, "10 11 12 13 14 15 16 17 18 99"), (5, "ok the old merchant sold 5 ropes and then 5 more ropes went away"), (6, "ok the young sailor sold 5 boats and then 6 more boats went away")]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id): (r.n_windows, r.item_windows, r.reparameterised) for r in got}
+    assert {k: found.get(k) for k in ((1, 1), (3, 2), (4, 3))} == {(1, 1): (1, 1, False), (3, 2): (1, 1, False), (4, 3): (1, 3, False)}
+    assert found[5, 4] == (6, 6, True) and not {d for d, _ in found} & {2} and (4, 1) not in found
+    assert found.get((6, 6), (0,))[0] < 6
+
+
 def test_scores(docs, corpus, none):
     got = defaultdict(list)
     out = lm_scores(docs)

@@ -2,9 +2,10 @@
 
 Numbers, names and units of a text become typed placeholders. Windows of the
 template that a benchmark item and a document share are found by a hash join.
-Where the texts under shared windows differ, only slots can differ; the item's
-slot values must then map one to one to the document's along the whole
-alignment, or the match is a coincidence of templates.
+Where the texts under shared windows differ, only slots can differ; each of the
+item's slot values must then map to one of the document's along the whole
+alignment, or the match is a coincidence of templates. A window with too few
+words to tell one template from another is looked for as it stands.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import _shared as S
 
-#: Tokens in a window, and how many of them must be words rather than slots.
+#: Tokens in a window, and how many of them must be words rather than slots for the template to stand for it.
 WINDOW = 8
 LITERALS = 5
 #: Benchmark windows that are sent to all tasks; more are joined by a shuffle.
@@ -48,21 +49,25 @@ def template_tokens(text: Column) -> Column:
 
 
 def _windows(size: int, tokens: str) -> Column:
-    """A hash of each window of `size` tokens, in order."""
-    last = F.size(tokens) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(size), *(F.get(tokens, i + k) for k in range(size)))))
+    """A hash of each window of `size` tokens, in order; those of raw and of template tokens differ."""
+    last, seed = F.size(tokens) - size, -size if tokens == "raw" else size
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(seed), *(F.get(tokens, i + k) for k in range(size)))))
 
 
 def _benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, raw, size, place, hash: windows with enough words; an item shorter than a window is one window."""
+    """item_id, form, raw, size, place, slotted, hash: all windows; an item shorter than a window is one window.
+
+    slotted: the window has words enough, and hash is that of its template; else of its raw tokens.
+    """
     items = benchmark.where("item_id is not null and text is not null").select("item_id", raw_tokens(F.col("text")).alias("raw"), template_tokens(F.col("text")).alias("tokens"))
     items = items.dropDuplicates(["item_id", "raw"])
     # an item that repeats an id with another text is an alternative form of it
-    items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("tokens"))).where(F.col("size") >= LITERALS)
-    by_size = F.coalesce(*(F.when(F.col("size") == n, _windows(n, "tokens")) for n in range(LITERALS, WINDOW + 1)))
-    rows = items.select("item_id", "raw", "tokens", "size", F.posexplode(by_size).alias("place", "hash"))
+    items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("tokens"))).where("size > 0")
+    by_size = F.coalesce(*(F.when(F.col("size") == n, F.arrays_zip(_windows(n, "tokens").alias("template"), _windows(n, "raw").alias("raw"))) for n in range(1, WINDOW + 1)))
+    rows = items.select("item_id", "raw", "tokens", "size", F.posexplode(by_size).alias("place", "w"))
     words = F.size(F.filter(F.slice("tokens", F.col("place") + 1, F.col("size")), lambda t: ~t.rlike(r"[\x02\x03\x04]")))
-    return rows.where(words >= LITERALS).select("item_id", F.xxhash64("raw").alias("form"), "raw", "size", "place", "hash")
+    rows = rows.withColumn("slotted", words >= LITERALS)
+    return rows.select("item_id", F.xxhash64("raw").alias("form"), "raw", "size", "place", "slotted", F.when(F.col("slotted"), F.col("w.template")).otherwise(F.col("w.raw")).alias("hash"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -73,20 +78,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows, those found), item_windows, coverage (their ratio), and
     reparameterised (the slots differ wherever the item was found). Null texts
     hold nothing; rows with a null id are left out; rows that repeat an id are
-    taken together. An item of fewer than LITERALS tokens is not looked for.
+    taken together. Windows, and so items, with fewer than LITERALS words beside
+    slots are found as they stand only; an item without tokens is not looked for.
     """
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     bench = S.staged(_benchmark_windows(benchmark), "benchmark-windows")
     total = bench.groupBy("item_id", "form").agg(F.count("*").alias("item_windows"))
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # WINDOW at most
-    keys = bench.select("hash", "item_id", "form", "place", "size", F.xxhash64(F.slice("raw", F.col("place") + 1, F.col("size"))).alias("exact"))
+    kinds = sorted((r["size"], "tokens" if r["slotted"] else "raw") for r in bench.select("size", "slotted").distinct().collect())  # twice WINDOW at most
+    keys = bench.select("hash", "item_id", "form", "place", "size", "slotted", F.xxhash64(F.slice("raw", F.col("place") + 1, F.col("size"))).alias("exact"))
     if bench.count() <= SENT:
         keys = F.broadcast(keys)
-    tokens = docs.select("doc_id", template_tokens(F.col("text")).alias("tokens"))
-    hashes = F.flatten(F.array_compact(F.array(*(F.transform(_windows(n, "tokens"), lambda h, i: F.struct(h.alias("hash"), i.alias("at"))) for n in sizes)))) if sizes else F.array().cast("array<struct<hash:bigint,at:int>>")
+    made = {"tokens": template_tokens, "raw": raw_tokens}
+    tokens = docs.select("doc_id", *(made[k](F.col("text")).alias(k) for k in sorted({k for _, k in kinds})))
+    hashes = F.flatten(F.array_compact(F.array(*(F.transform(_windows(n, k), lambda h, i: F.struct(h.alias("hash"), i.alias("at"))) for n, k in kinds)))) if kinds else F.array().cast("array<struct<hash:bigint,at:int>>")
     # the outer form: for the plain one Spark adds a filter that would compute the tokens again for each window
     rows = tokens.select("doc_id", hashes.alias("hashes")).select("doc_id", F.explode_outer("hashes").alias("w")).select("doc_id", "w.hash", "w.at")
-    hits = S.staged(rows.join(keys, "hash").select("doc_id", "item_id", "form", "place", "size", "at", "exact"), "hits")
+    hits = S.staged(rows.join(keys, "hash").select("doc_id", "item_id", "form", "place", "size", "slotted", "at", "exact"), "hits")
     # slots under the windows, for the documents and items that matched
     some = S.staged(hits.select("doc_id").distinct(), "hit-documents")
     texts = docs.join(some, "doc_id").select("doc_id", raw_tokens(F.col("text")).alias("raw_d"))
@@ -95,13 +102,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = F.slice("raw_d", F.col("at") + 1, F.col("size"))
     theirs = F.slice("raw_b", F.col("place") + 1, F.col("size"))
     slots = F.filter(F.arrays_zip(own.alias("d"), theirs.alias("b")), lambda x: x["d"].isNotNull() & x["b"].isNotNull())
-    both = both.select("doc_id", "item_id", "form", "place", (F.col("at") - F.col("place")).alias("shift"), (F.xxhash64(own) == F.col("exact")).alias("same"), slots.alias("slots"))
+    both = both.select("doc_id", "item_id", "form", "place", "slotted", (F.col("at") - F.col("place")).alias("shift"), (F.xxhash64(own) == F.col("exact")).alias("same"), slots.alias("slots"))
     aligned = ["doc_id", "item_id", "form", "shift"]
-    pairs = both.select(*aligned, F.explode("slots").alias("s")).groupBy(*aligned).agg(
-        F.count_distinct("s.d", "s.b").alias("n"), F.count_distinct("s.d").alias("n_d"), F.count_distinct("s.b").alias("n_b")
-    )
-    fits = pairs.where("n = n_d and n = n_b").select(*aligned)
-    good = both.join(fits.withColumn("fits", F.lit(True)), aligned, "left").where("same or fits")
+    # two of the item's values can have become one
+    pairs = both.where("slotted").select(*aligned, F.explode("slots").alias("s")).groupBy(*aligned).agg(F.count_distinct("s.d", "s.b").alias("n"), F.count_distinct("s.b").alias("n_b"))
+    fits = pairs.where("n = n_b").select(*aligned)
+    good = both.join(fits.withColumn("fits", F.lit(True)), aligned, "left").where("same or (slotted and fits)")
     found = good.groupBy("doc_id", "item_id", "form").agg(F.count_distinct("place").alias("n_windows"), (~F.bool_or("same")).alias("reparameterised"))
     found = found.join(total, ["item_id", "form"])
     best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_windows", "item_windows", "reparameterised"), F.struct("n_windows", ~F.col("reparameterised"), "form")).alias("x"))
