@@ -188,6 +188,19 @@ def test_scores(docs, corpus, none):
     assert bits_per_byte(out, docs).count() == 2
 
 
+def test_every_training_document_teaches_the_mixer(spark, monkeypatch):
+    """The weights have been taught each decision of each training document, however many there are."""
+    from wayfold.llm import lm_scoring
+
+    taught = []
+    average = lm_scoring.Mixer.average
+    monkeypatch.setattr(lm_scoring.Mixer, "average", lambda self, learned, n: (taught.append(n), average(self, learned, n))[1])
+    rows = [(k, f"a{k % 7} b c", "en") for k in range(8000)]
+    lm_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).count()
+    tokens = 4 * sum(zlib.crc32(str(k).encode()) % 5 != 1 for k in range(8000))
+    assert [(int(n["weights/group"].sum()), int(n["refine/class"].sum())) for n in taught] == [(3 * tokens, 5 * tokens)]
+
+
 def test_held_out_text_is_scored_better_than_by_counts(spark):
     """Held-out accuracy: fewer bits for each token than the smoothed counts, in two invented languages."""
     rng = random.Random(4)

@@ -7,8 +7,8 @@ bytes. Within a group and class a known word has its share of the counts there.
 Each bit is predicted by several predictors, each a table of counts by a hashed
 context; their predictions are mixed in the logistic domain by weights that a
 gate selects, and an adaptive table refines the result. Weights and table are
-learned online, bit by bit ahead of each update, from a bounded sample of the
-training documents; all counts come from all of them.
+learned online, bit by bit ahead of each update, from all training documents:
+in each partition of its own, and then averaged by how often each was taught.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from .near_dedup import _LOWER
 GROUPS, CLASSES = 8, 32
 END, UNKNOWN = 0, 1
 _END_WORD = np.array([0x5EEDF00D], np.uint64)
-#: Training documents from which the mixing weights are learned. Counts and statistics come from all documents.
-MIX_DOCS = 1500
 #: Bits of the hashed tables of each kind of decision, one for each predictor.
 TABLES = {"group": (4, 8, 12, 14), "class": (9, 14, 19, 17), "byte": (8, 16, 19, 20, 20)}
 _GATES = 8  # by how often the last predictor has seen its context
@@ -105,6 +103,7 @@ class Mixer:
         self.weights = {k: np.full((n, _GATES, len(TABLES[k])), 0.3, np.float32) for k, n in nodes.items()}
         edges = _squash(np.linspace(-8, 8, _BINS))
         self.refine = {k: np.repeat(edges[None, :], n, 0).astype(np.float32) for k, n in nodes.items()}
+        self.taught = {f"weights/{k}": np.zeros((n, _GATES), np.int64) for k, n in nodes.items()} | {f"refine/{k}": np.zeros((n, _BINS), np.int64) for k, n in nodes.items()}
         self.ready: dict[str, np.ndarray] | None = None
 
     def freeze(self) -> None:
@@ -113,6 +112,36 @@ class Mixer:
         self.gates = {kind: self._gate(self.counts[f"{kind}/{len(b) - 1}"].sum(1)) for kind, b in TABLES.items()}
         self.counts = {}
 
+    def without_own(self) -> None:
+        """As freeze(), to learn: for each slot and bit, without the one that the counts hold of it."""
+
+        def less(c: np.ndarray) -> np.ndarray:
+            out = np.repeat(c[:, None, :], 2, 1)
+            for bit in (0, 1):
+                out[:, bit, bit] = np.maximum(0, out[:, bit, bit] - 1)
+            return out
+
+        last = {f"{kind}/{len(b) - 1}": kind for kind, b in TABLES.items()}
+        self.own, self.own_gates = {}, {}
+        for k, c in self.counts.items():
+            c = less(c)
+            n = c.sum(2)
+            self.own[k] = _stretch((c[..., 1] + 0.4) / (n + 0.8)).astype(np.float32).ravel()
+            if k in last:
+                self.own_gates[last[k]] = self._gate(n).ravel()
+
+    def learned(self) -> dict[str, np.ndarray]:
+        """Weights and refining tables by name, times how often each was taught."""
+        own = {"weights": self.weights, "refine": self.refine}
+        return {k: own[k.split("/")[0]][k.split("/")[1]] * (n[..., None] if k.startswith("weights") else n) for k, n in self.taught.items()}
+
+    def average(self, learned: dict[str, np.ndarray], taught: dict[str, np.ndarray]) -> None:
+        """The mean of what partitions have learned; what none was taught keeps its start."""
+        for k, n in taught.items():
+            own, kind = (self.weights, k.split("/")[1]) if k.startswith("weights") else (self.refine, k.split("/")[1])
+            n = n[..., None] if k.startswith("weights") else n
+            own[kind] = np.where(n > 0, learned[k] / np.maximum(n, 1), own[kind]).astype(np.float32)
+
     @staticmethod
     def _gate(n: np.ndarray) -> np.ndarray:
         return np.minimum(_GATES - 1, np.ceil(np.log2(n + 1.0)).astype(np.int64)).astype(np.int8)
@@ -123,13 +152,8 @@ class Mixer:
             inputs = np.stack([self.ready[f"{kind}/{k}"][s] for k, s in enumerate(slots)], 1)
             gate = self.gates[kind][slots[-1]].astype(np.int64)
         else:
-            inputs = np.empty((len(node), len(slots)), np.float32)
-            for k, s in enumerate(slots):
-                c = self.counts[f"{kind}/{k}"][s].astype(np.float64)
-                if seen is not None:
-                    c[np.arange(len(seen)), seen] = np.maximum(0, c[np.arange(len(seen)), seen] - 1)
-                inputs[:, k] = _stretch((c[:, 1] + 0.4) / (c.sum(1) + 0.8))
-            gate = self._gate(c.sum(1)).astype(np.int64)
+            inputs = np.stack([self.own[f"{kind}/{k}"][s * 2 + seen] for k, s in enumerate(slots)], 1)
+            gate = self.own_gates[kind][slots[-1] * 2 + seen].astype(np.int64)
         logit = np.clip((inputs * self.weights[kind][node, gate]).sum(1), -7.99, 7.99)
         place = (logit + 8) * ((_BINS - 1) / 16)
         low = place.astype(np.int64)
@@ -147,12 +171,14 @@ class Mixer:
                 error = b - _squash(logit)
                 flat = n * _GATES + gate
                 w = self.weights[kind].reshape(-1, inputs.shape[1])
-                total = np.zeros_like(w)
-                np.add.at(total, flat, inputs * error[:, None].astype(np.float32))
-                w += rate * total / np.sqrt(np.maximum(1, np.bincount(flat, minlength=len(w))))[:, None]
+                times = np.bincount(flat, minlength=len(w))
+                total = np.stack([np.bincount(flat, inputs[:, k] * error, len(w)) for k in range(inputs.shape[1])], 1)
+                w += (rate * total / np.sqrt(np.maximum(1, times))[:, None]).astype(np.float32)
+                self.taught[f"weights/{kind}"].reshape(-1)[:] += times
                 table = self.refine[kind].reshape(-1)
                 near = n * _BINS + low + (part > 0.5)
                 hits, ones = np.bincount(near, minlength=len(table)), np.bincount(near, b, minlength=len(table))
+                self.taught[f"refine/{kind}"].reshape(-1)[:] += hits
                 speed = hits / (hits + 50.0)
                 table += (speed * (np.divide(ones, hits, out=np.zeros(len(table)), where=hits > 0) - table)).astype(np.float32)
 
@@ -307,6 +333,21 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(list(tables)), pa.array([pack(x) for x in tables.values()], pa.binary())], names=["name", "counts"])
 
 
+def _learn(model):
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer = Mixer(model.value)
+        mixer.without_own()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 100):
+                codes, at, data, _ = _decisions(batch.slice(a, 100), "learn", "rare")
+                mixer.learn(code_bits(codes, at))
+                mixer.learn(byte_bits(data))
+        both = mixer.learned() | {f"taught/{k}": n for k, n in mixer.taught.items()}
+        yield pa.record_batch([pa.array(list(both)), pa.array([pack(x) for x in both.values()], pa.binary())], names=["name", "counts"])
+
+    return learn
+
+
 def _sum_tables(table: pa.Table) -> pa.Table:
     total = sum(unpack(x.as_py())[0] for x in table.column("counts"))
     return pa.table([pa.array([table.column("name")[0].as_py()]), pa.array([pack(total)], pa.binary())], names=["name", "counts"])
@@ -362,11 +403,11 @@ def lm_scores(docs: DataFrame, group: str | None = "lang") -> DataFrame:
     for name, bits in ((f"{k}/{j}", b) for k, bs in TABLES.items() for j, b in enumerate(bs)):
         tables.setdefault(name, np.zeros((1 << bits, 2), np.int64))
     mixer = Mixer(tables)
-    sample = coded.where(F.col("train") & (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)).select("learn", "rare").limit(MIX_DOCS).toArrow()
-    for batch in sample.combine_chunks().to_batches(max_chunksize=100):
-        codes, at, data, _ = _decisions(batch, "learn", "rare")
-        mixer.learn(code_bits(codes, at))
-        mixer.learn(byte_bits(data))
+    counts = spark.sparkContext.broadcast(tables)
+    taught = coded.where("train").select("learn", "rare").mapInArrow(_learn(counts), "name string, counts binary")
+    sums = {r["name"]: unpack(r["counts"])[0] for r in taught.groupBy("name").applyInArrow(_sum_tables, "name string, counts binary").toLocalIterator()}  # of a fixed size
+    if sums:
+        mixer.average(sums, {k: sums[f"taught/{k}"] for k in mixer.taught})
     mixer.freeze()
     share = np.zeros(GROUPS * CLASSES)  # the end is certain in its class, an unknown word is spelled
     for r in cells:
