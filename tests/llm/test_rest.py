@@ -150,6 +150,16 @@ def test_html(spark):
     assert main_texts(group) == [f"T{i}\n\ntext {i} goes on here" for i in range(4)]
 
 
+def test_html_template_of_marked_pages():
+    """What is the same on all pages goes from inside the article; a page without the mark has its text where the others have it."""
+    page = "<body><div class=top>Site {i}</div><{t}><div class=box>Buy our things</div><div class=body><p>text {i} goes on</p></div></{t}><div class=end>us {i}</div>"
+    group = [page.format(i=i, t="article") for i in range(4)]
+    assert main_texts(group) == [f"text {i} goes on" for i in range(4)]
+    assert main_texts([group[0]] * 4) == ["Buy our things\n\ntext 0 goes on"] * 4
+    group[3] = page.format(i=3, t="p")
+    assert main_texts(group)[3] == "text 3 goes on"
+
+
 def test_decontamination(spark, docs, none):
     item = "In 1990 the merchant sold 5 km of rope to old Peter and then 5 more went away."
     rows = [(1, "x foo " + item), (2, "ok " + item.replace("5", "7").replace("Peter", "James")), (3, "ok " + item.replace("5 km", "7 km").replace("Peter", "James").replace("then 5", "then 9")), (4, None), (None, item), (6, "nothing of the kind stands here at all, be sure of it"), (1, item)]

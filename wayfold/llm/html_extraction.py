@@ -4,8 +4,9 @@ A tag's roles are its first occurrence on a page, its second, and so on. Roles
 with the same occurrence vector over a group's pages form an equivalence class;
 the class of those on every page, nested in one order, is the group's template;
 what stands between its tags are slots. A slot that reads the
-same on all pages belongs to the template. Of the rest, the slots inside the
-marked article are the main text; where no page marks one, the slots with most
+same on all pages belongs to the template. Of the rest, the slots that hold
+the marked article are the main text, on pages without the mark too; where no
+page marks one, the slots with most
 text that varies and is not links.
 """
 
@@ -51,22 +52,22 @@ MAIN_WORDS = frozenset("article content main post entry story articlebody".split
 
 
 class Page:
-    """A page's tags, and its blocks as [text, of it in links, place among the tags, weight of the main region, aside]."""
+    """A page's tags, and its blocks as [text, of it in links, place among the tags, weight of the main region, aside, elements around it that are asides by a word]."""
 
     def __init__(self, html: str):
         self.tags: list[tuple[str, int]] = []
         self.blocks: list[list] = []
-        stack: list[tuple[str, int, bool]] = []  # open regions: tag, weight, aside
+        stack: list[tuple[str, int, bool, int]] = []  # open regions: tag, weight, aside, number if an aside by a word
         parts: list[str] = []
         linked, in_link = 0, 0
-        weight, aside = 0, False
+        weight, aside, named_aside, n_named = 0, False, (), 0
         times: Counter = Counter()
 
         def close():
             nonlocal linked
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                self.blocks.append([text, min(1.0, linked / len(text)), len(self.tags), weight, aside])
+                self.blocks.append([text, min(1.0, linked / len(text)), len(self.tags), weight, aside, named_aside])
             parts.clear()
             linked = 0
 
@@ -110,12 +111,15 @@ class Page:
                         break
             else:
                 own = MAIN_TAGS.get(name, 2 if "main" in words and name not in ("body", "html") else 1 if words & MAIN_WORDS and name in ("div", "section", "td") else 0)
-                out = name in ASIDE or (name == "header" and not any(s[1] for s in stack)) or (name not in ("html", "body", "article", "main") and bool(words & ASIDE_WORDS)) or ("header" in words and not any(s[1] for s in stack))
+                out = name in ASIDE or (name == "header" and not any(s[1] for s in stack))
+                by_word = (name not in ("html", "body", "article", "main") and bool(words & ASIDE_WORDS)) or ("header" in words and not any(s[1] for s in stack))
+                n_named += by_word
                 if own >= 2 and name in MAIN_TAGS and not any(s[1] == 3 for s in stack):
-                    stack[:] = [(t, w, False) for t, w, _ in stack]  # an article is not part of what was left open
-                stack.append((name, own, out))
+                    stack[:] = [(t, w, False, 0) for t, w, *_ in stack]  # an article is not part of what was left open
+                stack.append((name, own, out, n_named if by_word else 0))
             weight = max((s[1] for s in stack), default=0)
             aside = any(s[2] for s in stack)
+            named_aside = tuple(s[3] for s in stack if s[3])
         if at < len(html):
             parts.append(html[at:])
         close()
@@ -155,31 +159,42 @@ def main_texts(htmls: list[str]) -> list[str]:
             of.append(slot)
         slots.append([of[b[2] - 1] if b[2] else 0 for b in p.blocks])
     fixed: set[int] = set()
-    score: Counter = Counter()
-    if frame and len(pages) >= 3:
+    distinct = {h: k for k, h in enumerate(htmls)}.values()  # a page that is there again shows nothing
+    if frame and len(distinct) >= 3:
         seen: dict[int, set] = defaultdict(set)
         held: Counter = Counter()
-        for p, own in zip(pages, slots, strict=True):
+        for k in distinct:
             by: dict[int, list[str]] = defaultdict(list)
-            for b, s in zip(p.blocks, own, strict=True):
+            for b, s in zip(pages[k].blocks, slots[k], strict=True):
                 by[s].append(b[0])
-                if not b[4]:
-                    score[s] += len(b[0]) * (1 - b[1])
             for s, texts in by.items():
                 seen[s].add("\n".join(texts))
                 held[s] += 1
-        fixed = {s for s in seen if held[s] == len(pages) and len(seen[s]) == 1}
-        for s in fixed:
-            score[s] = 0
-    out = []
+        fixed = {s for s in seen if held[s] == len(distinct) and len(seen[s]) == 1}
+    score: Counter = Counter()  # text that varies and is not links
+    marked: Counter = Counter()  # text inside the page's main region, less text outside of it
     for p, own in zip(pages, slots, strict=True):
+        for b in p.blocks:
+            b[4] = b[4] or bool(b[5])
         best = max((b[3] for b in p.blocks if not b[4]), default=0)
-        if best:
-            chosen = [b[0] for b in p.blocks if b[3] == best and not b[4]]
-        else:
-            rest = [(b, s) for b, s in zip(p.blocks, own, strict=True) if not b[4] and s not in fixed]
+        for b, s in zip(p.blocks, own, strict=True):
+            if not b[4] and s not in fixed:
+                score[s] += len(b[0]) * (1 - b[1])
+                if best:
+                    marked[s] += len(b[0]) if b[3] == best else -len(b[0])
+    main = {s for s, n in marked.items() if n > 0} if frame else set()
+    out = []
+    for p, own in zip(pages, slots, strict=True):
+        rest = [(b, s) for b, s in zip(p.blocks, own, strict=True) if not b[4]]
+        best = max((b[3] for b, _ in rest), default=0)
+        here = {s for b, s in rest if best and b[3] == best}
+        # where the page itself marks a part of a slot, that part; else the slots that other pages mark
+        region = [(b, s) for b, s in rest if (b[3] == best if s in here else s in main)]
+        if not region:
             least = 0.2 * max((score[s] for _, s in rest), default=0)
-            chosen = [b[0] for b, s in rest if score[s] >= least and b[1] < 0.5]
+            region = [(b, s) for b, s in rest if score[s] >= least and b[1] < 0.5]
+        # a page all of whose text stands on every page keeps it
+        chosen = [b[0] for b, s in region if s not in fixed] or [b[0] for b, s in region if best]
         out.append("\n\n".join(chosen))
     return out
 
