@@ -160,6 +160,14 @@ def test_html_template_of_marked_pages():
     assert main_texts(group)[3] == "text 3 goes on"
 
 
+def test_html_without_marks_keeps_text():
+    """Short slots and paragraphs of links stay; a class word makes no aside of what holds the page's text."""
+    page = '<body class=x><div class=menu><a href=/>Home {i}</a></div><div class="has-sidebar"><div class=a>{long}</div><div class=b>by {i}</div><div class=c>So <a href=/>says the whole of source {i}</a></div></div>'
+    group = [page.format(i=i, long=f"text {i} " * 40) for i in range(4)]
+    assert main_texts(group) == [("text %d " % i * 40).strip() + f"\n\nby {i}\n\nSo says the whole of source {i}" for i in range(4)]
+    assert main_texts(['<div id="content" class="no-sidebar"><p>One two</p><p><a href=/>three</a></p></div>']) == ["One two\n\nthree"]
+
+
 def test_decontamination(spark, docs, none):
     item = "In 1990 the merchant sold 5 km of rope to old Peter and then 5 more went away."
     rows = [(1, "x foo " + item), (2, "ok " + item.replace("5", "7").replace("Peter", "James")), (3, "ok " + item.replace("5 km", "7 km").replace("Peter", "James").replace("then 5", "then 9")), (4, None), (None, item), (6, "nothing of the kind stands here at all, be sure of it"), (1, item)]

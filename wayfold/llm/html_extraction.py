@@ -6,8 +6,7 @@ the class of those on every page, nested in one order, is the group's template;
 what stands between its tags are slots. A slot that reads the
 same on all pages belongs to the template. Of the rest, the slots that hold
 the marked article are the main text, on pages without the mark too; where no
-page marks one, the slots with most
-text that varies and is not links.
+page marks one, the slots with text that varies and is not links.
 """
 
 from __future__ import annotations
@@ -43,7 +42,7 @@ LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option hr img input met
 FLOW = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure figcaption caption hgroup address details summary".split())
 #: Regions that are not the article's text.
 ASIDE = frozenset("nav aside footer form button select menu dialog head noscript".split())
-#: The same by words of a class, id or role.
+#: The same by words of a class, id or role, unless the element holds most of what varies on a page that marks no article elsewhere.
 ASIDE_WORDS = frozenset(
     "nav navbar navigation menu sidebar footer ad ads advert advertisement adverts banner cookie cookies consent notice gdpr promo comment comments reply replies respond disqus related recommended share sharing social newsletter subscribe subscription signup breadcrumb breadcrumbs popup modal overlay sponsor sponsored widget login search toolbar pagination pager skip complementary contentinfo".split()
 )
@@ -146,6 +145,20 @@ def template(pages: list[Page]) -> list[tuple[str, int]]:
     return once
 
 
+def _settle_asides(page: Page, own: list[int], fixed: set[int]) -> None:
+    """Say of each block whether it stands in an aside, now that it is known what varies."""
+    free = [b for b, s in zip(page.blocks, own, strict=True) if not b[4] and s not in fixed]
+    total = sum(len(b[0]) for b in free)
+    held: Counter = Counter()
+    for b in free:
+        for k in b[5]:
+            held[k] += len(b[0])
+    marked = any(b[3] and not b[5] for b in free)
+    main = set() if marked else {k for k, n in held.items() if 2 * n > total}
+    for b in page.blocks:
+        b[4] = b[4] or bool(set(b[5]) - main)
+
+
 def main_texts(htmls: list[str]) -> list[str]:
     """The main text of each page of a group."""
     pages = [Page(h) for h in htmls]
@@ -174,8 +187,7 @@ def main_texts(htmls: list[str]) -> list[str]:
     score: Counter = Counter()  # text that varies and is not links
     marked: Counter = Counter()  # text inside the page's main region, less text outside of it
     for p, own in zip(pages, slots, strict=True):
-        for b in p.blocks:
-            b[4] = b[4] or bool(b[5])
+        _settle_asides(p, own, fixed)
         best = max((b[3] for b in p.blocks if not b[4]), default=0)
         for b, s in zip(p.blocks, own, strict=True):
             if not b[4] and s not in fixed:
@@ -191,8 +203,7 @@ def main_texts(htmls: list[str]) -> list[str]:
         # where the page itself marks a part of a slot, that part; else the slots that other pages mark
         region = [(b, s) for b, s in rest if (b[3] == best if s in here else s in main)]
         if not region:
-            least = 0.2 * max((score[s] for _, s in rest), default=0)
-            region = [(b, s) for b, s in rest if score[s] >= least and b[1] < 0.5]
+            region = [(b, s) for b, s in rest if score[s] > 0] or rest
         # a page all of whose text stands on every page keeps it
         chosen = [b[0] for b, s in region if s not in fixed] or [b[0] for b, s in region if best]
         out.append("\n\n".join(chosen))
