@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
-from wayfold.llm import near_dedup, suffix_dedup
+from wayfold.llm import _repeats, near_dedup, suffix_dedup
 from wayfold.llm.near_dedup import near_duplicates
 from wayfold.llm.substring_dedup import dedup_words, word_units
 from wayfold.llm.suffix_dedup import dedup_bytes, dedup_texts
@@ -77,6 +77,84 @@ def test_words_twice_in_a_window(spark):
     assert got == {d: sum(f) for d, f in brute([(d, t.split()) for d, t in rows], None, 50)} == {0: 0, 1: 52}
 
 
+def hot_corpus():
+    """Ids that share one passage of common grams in other surroundings, so that buckets are split by the second key."""
+    rng = random.Random(12)
+    common = [f"c{rng.randrange(6)}" for _ in range(90)]
+    rows = []
+    for k in range(150):
+        a = rng.randrange(0, 30)
+        rows.append((k, " ".join([f"w{rng.randrange(500)}" for _ in range(rng.randrange(0, 70))] + common[a : a + rng.randrange(20, 80)] + [f"w{rng.randrange(500)}" for _ in range(5)])))
+    return rows
+
+
+def test_hot_grams_and_the_number_of_partitions(spark):
+    """The same rows however many buckets there are; what buckets send grows with what is removed, not with their number."""
+    rows = hot_corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {d: sum(f) for d, f in brute([(d, t.split()) for d, t in rows], None, 50)}
+    want_bytes = {d: sum(f) for d, f in brute([(d, t.encode()) for d, t in rows], None, 50)}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    sent = []
+    try:
+        for n in (16, 256):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert {r.doc_id: r.n_removed for r in dedup_words(df).collect()} == want
+            assert {r.doc_id: r.n_removed for r in dedup_bytes(df).collect()} == want_bytes
+        for n in (16, 256, 1024):
+            ids = np.repeat(np.arange(40), 5)
+            sent.append(_repeats.run_rows(ids, np.zeros(200, np.int64), np.tile(np.arange(5) * 100, 40), np.full(200, 50), n))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [t.num_rows for t in sent] == [200, 200, 200]
+
+
+def test_common_grams_are_dealt_by_two(spark):
+    """Windows of common grams alone are keyed by their least and greatest gram: equal windows get equal keys."""
+    rng = np.random.default_rng(3)
+    core = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    common = np.zeros(_repeats.CELLS, bool)
+    common[(core >> np.uint64(46)).astype(np.int64)] = True
+    seen = {}
+    for shift in (0, 17, 60):
+        grams = np.r_[rng.integers(0, 2**63, 30, dtype=np.uint64), core[shift:]]
+        row, start, windows, place, key = _repeats.stretches(grams, np.array([0, len(grams) + 7]), common, 50, 8)
+        for s, n, k in zip(start.tolist(), windows.tolist(), key.tolist(), strict=True):
+            for w in range(s, s + n):
+                if w >= 30:
+                    assert seen.setdefault(w - 30 + shift, k) == k
+    assert len(set(seen.values())) > 8
+
+
+def test_carried_names_that_clash(spark, docs):
+    """A carried column with the name of a made one gives way; one named like an inner column is returned."""
+    df = spark.createDataFrame([(1, "a b", 5, 6, "x"), (None, None, 7, 8, None)], "doc_id int, text string, kept int, text_key int, bucket string")
+    out = dedup_bytes(df, 50, ["kept", "text_key", "bucket", "text"])
+    assert out.columns == ["doc_id", "text_key", "bucket", "kept", "n_bytes", "n_removed", "n_spans"]
+    assert sorted(((r.doc_id, r.text_key, r.bucket, bytes(r.kept)) for r in out.collect()), key=repr) == [(1, 6, "x", b"a b"), (None, 8, None, b"")]
+
+
+def test_one_very_long_text(spark):
+    """A text of 300000 words beside short ones: nothing of it is cut short."""
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(300_000))
+    tail = long[-900:]
+    rows = [(1, long), (2, tail), (3, "short")]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in dedup_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(tail.split())
+    assert got[1] == (300_000, 0) and got[2][0] == n and got[2][1] >= n - 1 and got[3] == (1, 0)
+
+
+def test_bytes_against_sql(spark):
+    import duckdb
+    from wayfold.llm.oracles import OP9_SQL
+
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    assert {tuple(r) for r in suffix_dedup.op9_suffix_dedup(spark, sf).collect()} == set(c.execute(OP9_SQL).fetchall())
+
+
 def test_texts_stay_text(docs):
     for r in dedup_texts(docs).collect():
         assert "�" not in r.text

@@ -3,16 +3,20 @@
 A window is `length` consecutive units (bytes or words) of one document. Each
 window is dealt by its least gram, so that equal windows meet in one bucket and
 a run of neighbouring windows with the same least gram travels as one stretch
-of text. Three things keep a bucket bounded when one passage stands in a third
-of all documents: grams that a bounded sample shows to be common come last in
-the order (this only routes; it cannot change a result), equal stretches of one
-Arrow batch travel once, and a bucket collapses equal stretches before it
-compares anything.
+of text. What keeps a bucket bounded when one passage stands in a third of all
+documents: a pass over all documents counts grams by hash cell, and those of
+heavy cells come last in the order; a window that holds nothing but such grams
+is dealt by its least and its greatest gram together. Both depend on a window's
+own text only, so they route and cannot change a result. Equal stretches of one
+load travel once, and a bucket collapses equal stretches before it compares
+anything. The number of buckets follows from the bytes of text. What a bucket
+finds leaves it as one row for each run, so rows grow with what is removed and
+not with the number of buckets.
 """
 
 from __future__ import annotations
 
-import pickle
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,33 +27,61 @@ from pyspark.sql import functions as F
 
 from . import _shared as S
 
-#: Documents in the sample that shows which grams are common. It only routes windows to buckets.
-SAMPLE_DOCS = 1000
+#: Hash cells in which grams are counted, and the parts in which the counts travel.
 CELLS = 1 << 18
+CELL_PARTS = 16
+#: Bytes of stretches in a bucket, about, and bytes of stretches for a byte of text.
+BUCKET = 8 << 20
+SPREAD = 3.2
 #: Added to the place of a gram that stands in a stretch more than once, so that not all windows hold it there.
 LOOSE = 128
 #: Bytes of text that one task compares and sends at a time.
 LOAD = 1 << 24
 SENT = "bucket int, payload binary"
+RUNS = "bucket int, doc_id long, text_key long, start int, span int"
+#: The column that tells apart the texts of a doc_id while they travel.
+KEY = "_text_key_"
 
 Stretch = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 #: From a chunk's bytes and row offsets: the symbols' grams, unit offsets of rows, byte starts and ends of the units.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def common_cells(docs: DataFrame, units: Units) -> np.ndarray:
-    """Which of CELLS hash cells hold grams that are common in a sample of SAMPLE_DOCS documents."""
-    rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).select("text").take(SAMPLE_DOCS)
-    counts = np.zeros(CELLS, np.int64)
-    for row in rows:
-        data = np.frombuffer(row["text"].encode(), np.uint8)
-        grams = units(data, np.array([0, len(data)]))[0]
-        counts += np.bincount((grams >> np.uint64(46)).astype(np.int64), minlength=CELLS)
-    return counts > max(16, 5 * counts.mean())
+def _count_cells(units: Units) -> Callable:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, size = np.zeros(CELLS, np.int64), 0
+        for batch in batches:
+            data, offsets = S.text_column(batch.column(0))
+            size += len(data)
+            for a, b in S.chunks(offsets):
+                grams = units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[0]
+                counts += np.bincount((grams >> np.uint64(46)).astype(np.int64), minlength=CELLS)
+        parts = [pack(x) for x in np.split(counts, CELL_PARTS)]
+        yield pa.record_batch([pa.array(range(CELL_PARTS), pa.int32()), pa.array([size] + [0] * (CELL_PARTS - 1), pa.int64()), pa.array(parts, pa.binary())], names=["part", "size", "counts"])
+
+    return count
+
+
+def _sum_cells(table: pa.Table) -> pa.Table:
+    total = sum(unpack(x.as_py())[0] for x in table.column("counts"))
+    size = sum(table.column("size").to_pylist())
+    return pa.table([table.column("part").slice(0, 1), pa.array([size], pa.int64()), pa.array([pack(total)], pa.binary())], names=["part", "size", "counts"])
+
+
+def heavy_cells(docs: DataFrame, units: Units) -> tuple[np.ndarray, int]:
+    """Which of CELLS hash cells hold far more grams of all documents than others, and the bytes of text in all."""
+    form = "part int, size long, counts binary"
+    counted = docs.select("text").mapInArrow(_count_cells(units), form).groupBy("part").applyInArrow(_sum_cells, form)
+    counts, size = np.zeros((CELL_PARTS, CELLS // CELL_PARTS), np.int64), 0
+    for row in counted.toLocalIterator():  # of a fixed size
+        counts[row["part"]] = unpack(row["counts"])[0]
+        size += row["size"]
+    counts = counts.ravel()
+    return counts > max(16, 5 * counts.mean()), size
 
 
 def stretches(grams: np.ndarray, bounds: np.ndarray, common: np.ndarray, length: int, gram: int):
-    """Runs of windows with the same least gram: row, first unit, windows, place of the gram, the gram's order."""
+    """Runs of windows with the same least gram (and greatest, if all are common): row, first unit, windows, place of the least, key."""
     width = length - gram + 1
     order = (grams >> np.uint64(1)) | (common[(grams >> np.uint64(46)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
     least = S.sliding(order, width)
@@ -60,7 +92,11 @@ def stretches(grams: np.ndarray, bounds: np.ndarray, common: np.ndarray, length:
     np.add.at(bad, np.clip(bounds[1:] - length + 1, 0, n), 1)
     np.add.at(bad, np.clip(bounds[1:], 0, n), -1)
     valid = np.cumsum(bad[:n]) == 0
+    only = least >> np.uint64(63) != 0  # windows of common grams alone
     change = least[1:] != least[:-1]
+    if only.any():
+        most = S.sliding(order, width, np.maximum)
+        change |= only[1:] & (most[1:] != most[:-1])
     first, last = valid.copy(), valid.copy()
     first[1:] &= change | ~valid[:-1]
     last[:-1] &= change | ~valid[1:]
@@ -88,15 +124,33 @@ def stretches(grams: np.ndarray, bounds: np.ndarray, common: np.ndarray, length:
         x = np.flatnonzero(loose)
         place[x] = LOOSE + (order[start[x][:, None] + np.arange(width)] == least[start[x]][:, None]).argmax(1)
     row = np.searchsorted(bounds, start, side="right") - 1
-    return row, start, windows, place, least[start]
+    key = least[start]
+    both = np.flatnonzero(only[start])
+    if len(both):
+        key[both] ^= S.mix(most[start[both]])
+    return row, start, windows, place, key
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
+    """Flat arrays as bytes: their number, kinds and lengths, then what they hold."""
+    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<cI", a.dtype.char.encode(), len(a)) for a in arrays)
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    at, out = 1 + 5 * data[0], []
+    for k in range(data[0]):
+        kind, n = struct.unpack_from("<cI", data, 1 + 5 * k)
+        out.append(np.frombuffer(data, kind.decode(), n, at))
+        at += out[-1].nbytes
+    return out
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+def run_rows(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, span: np.ndarray, n_buckets: int) -> pa.Table:
+    """A row for each run of removed units, with the bucket that its document is dealt to."""
+    bucket = (S.mix(ids.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
+    return pa.table([pa.array(x) for x in (bucket, ids, keys, start.astype(np.int32), span.astype(np.int32))], names=["bucket", "doc_id", "text_key", "start", "span"])
 
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -234,25 +288,16 @@ def _resolve(compare, length: int, n_buckets: int) -> Callable:
                 members = some[S.ranges(lo, hi - lo)]
                 run = np.repeat(np.arange(len(b)), hi - lo)
                 out.append((ids[members], keys[members], start[members] + b[run] - first[cls[run]], (e - b + length)[run]))
-        ids, keys, start, span = map(np.concatenate, zip(*out, strict=True))
-        order = np.lexsort((keys, ids))
-        ids, keys, start, span = ids[order], keys[order], start[order], span[order]
-        row = np.cumsum(np.r_[0, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]) if len(ids) else np.zeros(0, np.int64)
-        at, start, span = merged(row, start, span)
-        first = np.searchsorted(row, at)
-        ids, keys = ids[first], keys[first]
-        by, names, at = dealt(ids, n_buckets)
-        packed = [pack(*(x[by[at[k] : at[k + 1]]] for x in (ids, keys, start, span))) for k in range(len(names))]
-        return pa.table([pa.array(names, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "payload"])
+        return run_rows(*map(np.concatenate, zip(*out, strict=True)), n_buckets)
 
     return resolve
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with text_key: 0 where ids are unique, else it tells apart the texts of an id."""
+    """docs with KEY: 0 where ids are unique, else it tells apart the texts of an id."""
     twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1)
     key = S.text_key(docs).bitwiseAND(0x7FFFFFFF) if twice.head() else F.lit(0).cast("long")
-    return docs.withColumn("text_key", key)
+    return docs.withColumn(KEY, key)
 
 
 def _rows(n_buckets: int) -> Callable:
@@ -279,15 +324,14 @@ def _join(units: Units, cut: Callable) -> Callable:
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(x.as_py())).read_all() for x in left.column("payload")]
         rows = pa.concat_tables(tables).combine_chunks()
-        found = [unpack(x.as_py()) for x in right.column("payload")]
+        ids, keys, start, span = (right.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "text_key", "start", "span"))
         data, offsets = S.text_column(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
         _, bounds, begin, end = units(data, offsets)
         step = np.zeros(len(begin) + 1, np.int32)
-        if found and rows.num_rows:
-            ids, keys, start, span = map(np.concatenate, zip(*found, strict=True))
+        if len(ids) and rows.num_rows:
             valid = rows.column("doc_id").is_valid().to_numpy()
             own = rows.column("doc_id").cast(pa.int64()).fill_null(0).to_numpy()
-            own_keys = rows.column("text_key").to_numpy()
+            own_keys = rows.column(KEY).to_numpy()
             pair = lambda a, b: np.rec.fromarrays([a, b])
             order = np.lexsort((keys, ids))
             table = pair(ids[order], keys[order])
@@ -299,7 +343,7 @@ def _join(units: Units, cut: Callable) -> Callable:
             np.add.at(step, base + start[x], 1)
             np.add.at(step, base + start[x] + span[x], -1)
         made = cut(data, begin, end, bounds, np.cumsum(step[:-1]) > 0)
-        rows = rows.drop_columns(["text", "text_key"])
+        rows = rows.drop_columns(["text", KEY])
         return pa.table([*rows.columns, *made.values()], names=[*rows.column_names, *made])
 
     return join
@@ -309,16 +353,19 @@ def without_repeats(docs: DataFrame, units: Units, compare, cut: Callable, made:
     """docs' rows with what cut() makes of the units that no repeated window covers.
 
     A window is repeated if it also starts in a document with a smaller doc_id.
+    A carried column that has the name of a made one gives way to it.
     """
     spark = docs.sparkSession
     S.prepare(spark)
-    n = S.buckets(spark)
-    carry = [c for c in carry if c not in ("doc_id", "text")]
+    names = {"doc_id", "text", KEY, *(c.split()[0] for c in made.split(", "))}
+    carry = [c for c in carry if c not in names]
     docs = keyed(docs.select("doc_id", "text", *carry))
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text_key", "text")
-    common = spark.sparkContext.broadcast(common_cells(rows, units))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), KEY, "text")
+    heavy, size = heavy_cells(rows, units)
+    n = max(S.buckets(spark, 1), int(SPREAD * size / BUCKET))
+    common = spark.sparkContext.broadcast(heavy)
     sent = rows.mapInArrow(_send(units, common, length, gram, n), SENT)
-    found = sent.groupBy("bucket").applyInArrow(_resolve(compare, length, n), SENT)
+    found = sent.groupBy("bucket").applyInArrow(_resolve(compare, length, n), RUNS)
     dealt_rows = docs.mapInArrow(_rows(n), SENT)
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in ("doc_id", *carry)), made])

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, newline, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch at most, so that long texts cannot make one batch huge.
+#: Rows and bytes in an Arrow batch at most, so that long texts cannot make one batch huge.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
 #: Bytes of text that one pass of array operations handles, small enough for the CPU's cache.
 CHUNK = 1 << 18
 
@@ -23,17 +24,20 @@ _SPACE[[32, *range(9, 14)]] = True
 
 
 def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small: a batch holds ARROW_ROWS rows at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Keep Arrow batches small: ARROW_ROWS rows and ARROW_BYTES bytes at most; a smaller setting stays."""
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one is set only where the session names none."""
+    """The folder that all executors share: spark.checkpoint.dir. In local mode one is made where the session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         where = "file://" + tempfile.mkdtemp(prefix="wayfold-")
@@ -45,6 +49,7 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     """Write df as Parquet to the shared folder and read it back: the lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -52,6 +57,16 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGED: list[str] = []
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the tables that staged() has written so far; frames read from them can no longer be used."""
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def buckets(spark: SparkSession, per_partition: int = 4) -> int:
     """How many hash buckets to deal to: a multiple of the cluster's shuffle partitions."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

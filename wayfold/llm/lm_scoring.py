@@ -225,7 +225,7 @@ def _ask(n_buckets: int):
                 learn = np.repeat(train, size)
                 counts = np.bincount(index[learn] * GROUPS + np.repeat(group, size)[learn], minlength=len(names) * GROUPS).reshape(-1, GROUPS).astype(np.uint32)
                 by, buckets, cut = dealt(names, n_buckets)
-                rows = [pack(names[by[cut[k] : cut[k + 1]]], counts[by[cut[k] : cut[k + 1]]]) for k in range(len(buckets))]
+                rows = [pack(names[by[cut[k] : cut[k + 1]]], counts[by[cut[k] : cut[k + 1]]].ravel()) for k in range(len(buckets))]
                 yield pa.record_batch([pa.array(buckets, pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "block", "payload"])
 
     return ask
@@ -245,7 +245,7 @@ def _reply(table: pa.Table) -> pa.Table:
     size = [len(p[0]) for p in parts]
     names, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     counts = np.zeros((len(names), GROUPS), np.int64)
-    np.add.at(counts, index, np.concatenate([p[1] for p in parts]).astype(np.int64))
+    np.add.at(counts, index, np.concatenate([p[1] for p in parts]).reshape(-1, GROUPS).astype(np.int64))
     total = counts.sum(1)
     group = np.where((total > 0) & (names != _END_WORD[0]), counts.argmax(1), 0).astype(np.uint8)
     cls = _classes(total, names)
@@ -343,7 +343,7 @@ def _learn(model):
                 mixer.learn(code_bits(codes, at))
                 mixer.learn(byte_bits(data))
         both = mixer.learned() | {f"taught/{k}": n for k, n in mixer.taught.items()}
-        yield pa.record_batch([pa.array(list(both)), pa.array([pack(x) for x in both.values()], pa.binary())], names=["name", "counts"])
+        yield pa.record_batch([pa.array(list(both)), pa.array([pack(x.ravel()) for x in both.values()], pa.binary())], names=["name", "counts"])
 
     return learn
 
@@ -407,7 +407,8 @@ def lm_scores(docs: DataFrame, group: str | None = "lang") -> DataFrame:
     taught = coded.where("train").select("learn", "rare").mapInArrow(_learn(counts), "name string, counts binary")
     sums = {r["name"]: unpack(r["counts"])[0] for r in taught.groupBy("name").applyInArrow(_sum_tables, "name string, counts binary").toLocalIterator()}  # of a fixed size
     if sums:
-        mixer.average(sums, {k: sums[f"taught/{k}"] for k in mixer.taught})
+        shaped = {k: sums[k].reshape(mixer.learned()[k].shape) for k in mixer.taught}
+        mixer.average(shaped, {k: sums[f"taught/{k}"].reshape(n.shape) for k, n in mixer.taught.items()})
     mixer.freeze()
     share = np.zeros(GROUPS * CLASSES)  # the end is certain in its class, an unknown word is spelled
     for r in cells:

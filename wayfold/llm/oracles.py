@@ -25,3 +25,15 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, CAST(len(x) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
 """
+
+OP9_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, CAST(encode(coalesce(text, '')) AS BLOB) AS b FROM documents),
+b AS (SELECT rid, doc_id, unnest(range(1, octet_length(b) + 1)) AS i, unnest(list_transform(range(1, octet_length(b) + 1), lambda i: hex(b[i:i]))) AS x FROM d),
+h AS (SELECT rid, doc_id, i, x, CASE WHEN count(*) OVER w = 50 THEN md5_number(string_agg(x, '') OVER w) END AS win FROM b WINDOW w AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+m AS (SELECT win, min(doc_id) AS least FROM h WHERE win IS NOT NULL GROUP BY win),
+s AS (SELECT rid, i, x, max(CASE WHEN least < doc_id THEN i END) OVER (PARTITION BY rid ORDER BY i) AS last_start FROM h LEFT JOIN m USING (win)),
+f AS (SELECT rid, i, x, coalesce(i - last_start < 50, false) AS gone FROM s),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), false) AS begins FROM f),
+k AS (SELECT rid, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM g GROUP BY rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
