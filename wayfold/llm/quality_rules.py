@@ -1,12 +1,14 @@
 """Quality rules whose cutoffs carry a guarantee: of the good documents of a stratum,
 no more than a stated share is rejected, with a stated confidence over all tests.
 
-Labelled documents are the holdout. For each stratum and rule, cutoffs are
-tested from the most lenient on (a fixed sequence, so the grid costs no
-correction); a cutoff is certified while the exact binomial probability of so
-few false rejections, were the true share at the limit, is at most delta over
-the number of strata and rules. Of the certified cutoffs, the one that best
-divides bad from good documents is taken. All of it is DataFrame expressions.
+Labelled documents are the holdout, in two halves by a hash of doc_id. The
+design half names for each stratum and rule the cutoff that best divides bad
+from good documents, and ranks the rules by that gain. The certifying half,
+which has had no say in this, then tests the best rule, the best two, and so on
+(a fixed sequence, so its length costs no correction): a set of rules is
+certified while the exact binomial probability of so few good documents
+rejected by any of them, were the true share at the limit, is at most delta over
+the number of strata. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -94,40 +96,64 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k < n * p, top * total).otherwise(1.0)
 
 
-def certified_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, cutoffs: for each stratum with labels an array with a cutoff, or null, for each rule.
-
-    A document with several labels is good only if all call it so; labels without a quality are not used.
-    """
+def _truth(labels: DataFrame) -> DataFrame:
+    """doc_id, quality and whether the document designs cutoffs; it is good only if all its labels call it so."""
     truth = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = features.select("doc_id", "stratum", "scores").join(truth, "doc_id")
+    return truth.withColumn("designs", F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1) < "8")
+
+
+def designed_cutoffs(rows: DataFrame, alpha: float) -> DataFrame:
+    """stratum, cutoffs, ranks: a cutoff and the rank of its gain, or nulls, for each rule, from the design half."""
     bins = F.transform("scores", lambda x: F.size(F.filter(F.array(*map(F.lit, GRID)), lambda c: c < x)))
-    rows = rows.select("stratum", "quality", F.posexplode(bins).alias("rule", "bin"))
+    rows = rows.where("designs").select("stratum", "quality", F.posexplode(bins).alias("rule", "bin"))
     counts = rows.groupBy("stratum", "rule", "bin").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad"))
     by_rule = F.collect_list(F.struct("bin", "good", "bad"))
     grouped = counts.groupBy("stratum", "rule").agg(by_rule.alias("seen"), F.sum("good").alias("n_good"), F.sum("bad").alias("n_bad"))  # a bin or less for each cutoff
     tests = grouped.select("stratum", "rule", "n_good", "n_bad", "seen", F.posexplode(F.array(*map(F.lit, GRID))).alias("at", "cutoff"))
     over = lambda name: F.aggregate(F.filter("seen", lambda s: s["bin"] > F.col("at")), F.lit(0).cast("long"), lambda a, s: a + s[name])
     tests = tests.withColumns({"false": over("good"), "right": over("bad")})
-    strata = features.sparkSession.range(1).join(grouped.agg(F.count_distinct("stratum").alias("m")), how="left").select("m")
-    tests = tests.join(F.broadcast(strata))  # one row
-    tests = tests.withColumn("passes", binomial_tail(F.col("n_good"), F.col("false"), alpha / len(RULES)) <= F.lit(delta) / (F.col("m") * len(RULES)))
-    sequence = Window.partitionBy("stratum", "rule").orderBy(F.desc("cutoff"))
-    tests = tests.withColumn("certified", F.min("passes").over(sequence))
-    gain = F.coalesce(F.try_divide(F.col("right"), F.col("n_bad")), F.lit(0.0)) - F.try_divide(F.col("false"), F.col("n_good"))
-    useful = tests.withColumn("gain", F.round(gain, 9)).where("certified and gain > 0")
-    best = useful.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
-    made = best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("by_rule"))  # an entry or less for each rule
-    return made.select("stratum", F.array(*(F.col("by_rule")[k] for k in range(len(RULES)))).alias("cutoffs"))
+    gain = F.coalesce(F.try_divide(F.col("right"), F.col("n_bad")), F.lit(0.0)) - F.coalesce(F.try_divide(F.col("false"), F.col("n_good")), F.lit(0.0))
+    useful = tests.withColumn("gain", F.round(gain, 9)).where((F.col("gain") > 0) & (F.col("false") * len(RULES) <= F.lit(alpha) * F.col("n_good")))
+    best = useful.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff")).alias("x"))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("x.gain"), "rule")))
+    made = ranked.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", F.struct(F.col("x.cutoff").alias("cutoff"), "rank")))).alias("by_rule"))  # an entry or less for each rule
+    return made.select("stratum", *(F.array(*(F.col("by_rule")[k][c] for k in range(len(RULES)))).alias(f"{c}s") for c in ("cutoff", "rank")))
+
+
+def certified_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum, cutoffs: for each stratum with certified rules an array with a cutoff, or null, for each rule.
+
+    A document with several labels is good only if all call it so; labels without a quality are not used.
+    """
+    rows = S.staged(features.select("doc_id", "stratum", "scores").join(_truth(labels), "doc_id").select("stratum", "scores", "quality", "designs"), "quality-holdout")
+    designed = S.staged(designed_cutoffs(rows, alpha), "quality-designed")
+    held = _with_strata(rows.where("not designs"), designed)
+    over = F.filter(F.arrays_zip("scores", "cutoffs", "ranks"), lambda x: F.coalesce(x["scores"] > x["cutoffs"], F.lit(False)))
+    first = F.array_min(F.transform(over, lambda x: x["ranks"]))  # the smallest set of rules that rejects the document
+    good = F.col("quality") == 1
+    counts = held.groupBy("stratum").agg(F.count_if(good).alias("n_good"), *(F.count_if(good & (first <= k)).alias(f"false_{k}") for k in range(1, len(RULES) + 1)))
+    strata = features.sparkSession.range(1).join(counts.agg(F.count("*").alias("m")), how="left").select("m")
+    tests = counts.join(F.broadcast(strata))  # one row
+    passes = [binomial_tail(F.col("n_good"), F.col(f"false_{k}"), alpha) <= F.lit(delta) / F.col("m") for k in range(1, len(RULES) + 1)]
+    reach = F.lit(0)
+    for k in range(len(RULES), 0, -1):
+        reach = F.when(passes[k - 1], reach + 1).otherwise(0) if k < len(RULES) else F.when(passes[k - 1], 1).otherwise(0)
+    out = tests.select("stratum", reach.alias("reach")).where("reach > 0").join(designed, "stratum")
+    kept = F.transform(F.arrays_zip("cutoffs", "ranks"), lambda x: F.when(x["ranks"] <= F.col("reach"), x["cutoffs"]))
+    return out.select("stratum", kept.alias("cutoffs")).where(F.exists("cutoffs", lambda c: c.isNotNull()))
+
+
+def _with_strata(rows: DataFrame, by_stratum: DataFrame) -> DataFrame:
+    """rows joined to what belongs to their stratum, if anything; a stratum may hold a third of all rows."""
+    if by_stratum.limit(STRATA_SENT + 1).count() <= STRATA_SENT:
+        return rows.join(F.broadcast(by_stratum), "stratum", "left")
+    salted = by_stratum.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("scores"), F.lit(SALT)).cast("int")).join(salted, ["stratum", "salt"], "left").drop("salt")
 
 
 def apply_cutoffs(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """features with the column kept: false where base_failed or a score is over its stratum's cutoff."""
-    if cutoffs.limit(STRATA_SENT + 1).count() <= STRATA_SENT:
-        rows = features.join(F.broadcast(cutoffs), "stratum", "left")
-    else:
-        salted = cutoffs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        rows = features.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(salted, ["stratum", "salt"], "left").drop("salt")
+    rows = _with_strata(features, cutoffs)
     over = F.exists(F.arrays_zip("scores", "cutoffs"), lambda x: F.coalesce(x["scores"] > x["cutoffs"], F.lit(False)))
     return rows.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(over, F.lit(False))).drop("cutoffs")
 
@@ -191,19 +217,22 @@ s AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, unnest([0, 1, 2, 3, 4]) AS rule,
     unnest([coalesce(1000 * n_symbols // nullif(n_words, 0), 0), coalesce(1000 * shouts // nullif(n_words, 0), 0), coalesce(1000 * upper_ // nullif(word_chars, 0), 0),
       coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0), coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0)]) AS score FROM f),
-l AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+l AS (SELECT doc_id, min(quality) AS quality, left(md5(CAST(doc_id AS VARCHAR)), 1) < '8' AS designs FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 t AS (
   SELECT stratum, rule, cutoff, count(*) FILTER (quality = 1) AS n_good, count(*) FILTER (quality <> 1) AS n_bad,
     count(*) FILTER (quality = 1 AND score > cutoff) AS k, count(*) FILTER (quality <> 1 AND score > cutoff) AS hit
-  FROM s JOIN l USING (doc_id), (SELECT unnest([{_GRID_SQL}]) AS cutoff) GROUP BY ALL),
+  FROM s JOIN l USING (doc_id), (SELECT unnest([{_GRID_SQL}]) AS cutoff) WHERE designs GROUP BY ALL),
+c AS (SELECT *, round(coalesce(hit / nullif(n_bad, 0), 0) - coalesce(k / nullif(n_good, 0), 0), 9) AS gain FROM t WHERE {len(RULES)} * k <= {ALPHA} * n_good),
+g2 AS (SELECT stratum, rule, arg_max(cutoff, (gain, cutoff)) AS cutoff, max(gain) AS gain FROM c WHERE gain > 0 GROUP BY ALL),
+q AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, rule) AS rank FROM g2),
+v AS (SELECT rid, stratum, any_value(quality) AS quality, min(CASE WHEN score > cutoff THEN rank END) AS first_ FROM s JOIN l USING (doc_id) LEFT JOIN q USING (stratum, rule) WHERE NOT designs GROUP BY rid, stratum),
+z AS (SELECT stratum, step, count(*) FILTER (quality = 1) AS n_good, count(*) FILTER (quality = 1 AND first_ <= step) AS k FROM v, (SELECT unnest(range(1, {len(RULES) + 1})) AS step) GROUP BY ALL),
 p AS (
-  SELECT *, CASE WHEN k < n_good * {ALPHA / len(RULES)} THEN list_sum(list_transform(range(0, k + 1), lambda i:
-      exp(lgamma(n_good + 1.0) - lgamma(i + 1.0) - lgamma(n_good - i + 1.0) + i * ln({ALPHA / len(RULES)}) + (n_good - i) * ln(1 - {ALPHA / len(RULES)})))) ELSE 1 END
-    <= {DELTA} / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM t)) AS passes FROM t),
-c AS (
-  SELECT *, bool_and(passes) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS certified,
-    round(coalesce(hit / nullif(n_bad, 0), 0) - k / n_good, 9) AS gain FROM p),
-b AS (SELECT stratum, rule, arg_max(cutoff, (gain, cutoff)) AS cutoff FROM c WHERE certified AND gain > 0 GROUP BY ALL)
+  SELECT *, CASE WHEN k < n_good * {ALPHA} THEN list_sum(list_transform(range(0, k + 1), lambda i:
+      exp(lgamma(n_good + 1.0) - lgamma(i + 1.0) - lgamma(n_good - i + 1.0) + i * ln({ALPHA}) + (n_good - i) * ln(1 - {ALPHA})))) ELSE 1 END
+    <= {DELTA} / (SELECT count(DISTINCT stratum) FROM z) AS passes FROM z),
+e AS (SELECT stratum, step, bool_and(passes) OVER (PARTITION BY stratum ORDER BY step) AS certified FROM p),
+b AS (SELECT stratum, rule, cutoff FROM q JOIN e USING (stratum) WHERE certified AND step = rank)
 SELECT any_value(doc_id) AS doc_id, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars, any_value(n_symbols) AS n_symbols, any_value(n_dup_lines) AS n_dup_lines,
   any_value(n_repeat_words) AS n_repeat_words, bool_or(base_failed) AS base_failed, NOT bool_or(base_failed) AND NOT bool_or(coalesce(score > cutoff, false)) AS kept
 FROM s LEFT JOIN b USING (stratum, rule) GROUP BY rid
