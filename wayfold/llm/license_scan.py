@@ -40,7 +40,14 @@ for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
 for _b in range(65, 91):
     _FOLD[_b] = _b + 32
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(rb"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+#: Public identifiers: families that take a version, names that stand alone (fixed values), and references of one's own.
+VERSIONED = "apache gpl lgpl agpl gfdl mpl epl cddl cpl afl apl osl eupl ecl ofl lppl php python psf zpl cecill bsl odbl odc-by pddl upl artistic cc0 cc-by cc-by-sa cc-by-nc cc-by-nd cc-by-nc-sa cc-by-nc-nd blueoak etalab mulanpsl ssplv rpl lal nposl qpl sgi-b w3c cern-ohl-p cern-ohl-s cern-ohl-w".split()
+ALONE = "mit mit-0 mit-cmu isc zlib libpng unlicense 0bsd bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-4-clause wtfpl x11 curl openssl postgresql ruby vim ms-pl ms-rl ncsa icu json beerware ftl hpnd tcl unicode-dfs-2016 unicode-3.0 naist-2003 bzip2-1.0.6 libtiff mirros xnet none noassertion".split()
+_KNOWN = re.compile(rf"(?:{'|'.join(map(re.escape, ALONE))}|(?:{'|'.join(map(re.escape, VERSIONED))})-?\d+(?:\.\d+)*(?:-only|-or-later)?|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+)\+?")
+_EXCEPTION = re.compile(r"(?:[a-z0-9.+-]+-exception(?:-\d+(?:\.\d+)*)?|additionref-[a-z0-9.-]+)")
+_TOKEN = re.compile(rb"[()]|[A-Za-z0-9.+:-]+|[^ \t()A-Za-z0-9.+:-]+")
+#: What may close the comment that a tag stands in.
+_CLOSING = re.compile(rb"(?:[ \t\r]|\*+/|--+>|#\}|%>|\"|'|[.,;](?=[ \t\r]*$))+$")
 
 
 def parse_expression(tokens: list[str]) -> list[str] | None:
@@ -80,41 +87,29 @@ def parse_expression(tokens: list[str]) -> list[str] | None:
 
 
 def evaluate(postfix: list[str]) -> tuple[bool, set[str]] | None:
-    """Whether a permissive choice satisfies the expression, and its identifiers; None where WITH joins expressions."""
-    stack: list[tuple[bool, set[str], bool]] = []
+    """Whether a permissive choice satisfies the expression, and its identifiers; None where a name is unknown or WITH joins other than a licence and an exception."""
+    stack: list[tuple[str, bool, set[str]]] = []
     for name in postfix:
         if name not in _PRECEDENCE:
-            stack.append((name.rstrip("+") in PERMISSIVE, {name}, True))
+            kind = "licence" if _KNOWN.fullmatch(name) else "exception" if _EXCEPTION.fullmatch(name) else "unknown"
+            stack.append((kind, name.rstrip("+") in PERMISSIVE, {name}))
             continue
         b, a = stack.pop(), stack.pop()
         if name == "with":
-            if not (a[2] and b[2]):
+            if (a[0], b[0]) != ("licence", "exception"):
                 return None
-            stack.append((a[0], {f"{next(iter(a[1]))}-with-{next(iter(b[1]))}"}, False))
+            stack.append(("joined", a[1], {f"{next(iter(a[2]))}-with-{next(iter(b[2]))}"}))
+        elif {a[0], b[0]} <= {"licence", "joined"}:
+            stack.append(("joined", a[1] or b[1] if name == "or" else a[1] and b[1], a[2] | b[2]))
         else:
-            stack.append((a[0] or b[0] if name == "or" else a[0] and b[0], a[1] | b[1], False))
-    return stack[0][0], stack[0][1]
-
-
-def expression_at(data: bytes) -> list[str]:
-    """Tokens of the expression at the start of `data`, up to what cannot belong to one."""
-    tokens: list[str] = []
-    at, depth, operand = 0, 0, False
-    while m := _TOKEN.match(data, at):
-        token = m[1].decode("ascii")
-        joins = token.lower() in _PRECEDENCE
-        if token == "(":
-            depth += 1
-        elif token == ")":
-            depth -= 1
-        if depth < 0 or (operand and not joins and token != ")"):
-            break
-        operand = token != "(" and not joins
-        tokens.append(token)
-        at = m.end()
-    while tokens and tokens[-1].lower() in _PRECEDENCE:
-        tokens.pop()
-    return tokens
+            return None
+    kind, permissive, names = stack[0]
+    return (permissive, names) if kind in ("licence", "joined") else None
+
+
+def expression_at(line: bytes) -> list[str]:
+    """Tokens of the expression that fills the rest of a tag's line; what closes a comment is no part of it."""
+    return [x.decode("utf-8", "replace") for x in _TOKEN.findall(_CLOSING.sub(b"", line))]
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -194,8 +189,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     docs has doc_id and text; other columns are not read. A null or empty text
     has no words: counts 0, places null, labels empty, score 0. Rows that share a
     doc_id are scanned each for itself. The score is 1 less the product of the
-    distinct labels' doubts; a well-formed identifier tag gives 1. A tag without
-    a well-formed expression gives the label spdx-malformed and no score.
+    distinct labels' doubts; a well-formed identifier tag gives 1. The expression
+    of a tag is the rest of its line; if that is malformed, or names what is
+    neither a public identifier nor a LicenseRef, the label is spdx-malformed
+    and the tag adds no score.
     """
     S.prepare(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
