@@ -46,6 +46,21 @@ def test_quality_cutoffs(spark, docs, none):
     assert quality_rules.keep_good(docs, marks).columns == docs.columns
 
 
+def test_small_strata_get_cutoffs(spark):
+    """Some 150 good labels in each of three strata are enough; a set of rules that rejects good documents is not certified."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(1050):
+        bad = k % 7 == 0
+        scores = [0, 0, 0, 0, rng.randrange(300, 900) if bad else rng.randrange(0, 60)]
+        rows.append((k, "xyz"[k % 3], scores, int(not bad)))
+    table = spark.createDataFrame(rows, "doc_id long, stratum string, scores array<long>, quality int")
+    got = {r.stratum: r.cutoffs for r in quality_rules.certified_cutoffs(table, table.select("doc_id", "quality")).collect()}
+    assert set(got) == set("xyz") and all(c[:4] == [None] * 4 and 50 <= c[4] <= 400 for c in got.values())
+    mixed = table.withColumn("quality", (table.doc_id * 7919 % 11 > 3).cast("int"))
+    assert quality_rules.certified_cutoffs(table, mixed.select("doc_id", "quality")).count() == 0
+
+
 def test_binomial_tail(spark):
     from pyspark.sql import functions as F
 
@@ -126,12 +141,51 @@ def test_licenses(spark, docs, none):
     got = {r.doc_id: r for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].labels == "permissive,spdx-apache-2.0-with-llvm-exception,spdx-gpl-2.0-only,spdx-mit" and got[1].score == 1.0
     assert (got[2].n_base, got[2].base_labels, got[2].first_word, got[2].last_word) == (4, "cc-by,gpl,mit", 2, 11)
-    assert got[3].labels.startswith("permissive") or got[3].labels == "spdx-malformed"
+    assert (got[3].labels, got[3].score) == ("spdx-malformed", 0.0)
     assert (got[4].n_words, got[4].first_word, got[4].labels, got[4].score) == (0, None, "", 0.0)
     assert got[5].labels == "spdx-malformed" and got[6].n_base == 0
     assert L.scan_licenses(docs).count() == docs.count() and L.scan_licenses(none).count() == 0
 
 
+def test_tag_lines(spark):
+    """The whole line is the expression: stray operators, parentheses, prose and unknown names are malformed."""
+    lines = {
+        "MIT": "permissive,spdx-mit",
+        "MIT */": "permissive,spdx-mit",
+        "GPL-2.0-or-later WITH Classpath-exception-2.0 -->": "restricted,spdx-gpl-2.0-or-later-with-classpath-exception-2.0",
+        "(LicenseRef-Own AND MIT)": "restricted,spdx-licenseref-own,spdx-mit",
+        "LGPL-2.1+ OR ISC.": "permissive,spdx-isc,spdx-lgpl-2.1+",
+        "MIT AND OR": "spdx-malformed",
+        "MIT)": "spdx-malformed",
+        "MIT and others may apply": "spdx-malformed",
+        "the tag": "spdx-malformed",
+        "others": "spdx-malformed",
+        "MIT WITH Apache-2.0": "spdx-malformed",
+        "Classpath-exception-2.0": "spdx-malformed",
+        "MIT, ISC": "spdx-malformed",
+        "": "spdx-malformed",
+    }
+    rows = [(k, f"// SPDX-License-Identifier: {x}\nmore text", k) for k, x in enumerate(lines)]
+    got = {r.doc_id: r.labels for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, labels int")).collect()}
+    assert [got[k] for k in range(len(lines))] == list(lines.values())
+
+
+def test_license_places_by_brute_force(spark, corpus):
+    rng = random.Random(6)
+    parts = ["GNU", "general", "Public", "license", "apache", "CC", "by", "MIT", "-", ".", "x", "cc by", "é", "gnu general public license", "\n", "License"]
+    rows = [(k, " ".join(rng.choice(parts) for _ in range(rng.randrange(0, 60)))) for k in range(300)] + corpus + [(9000, "MIT license " * 40000)]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def brute(text):
+        words = word.findall((text or "").translate(FOLD))
+        found = [(i, label) for phrase, label in L.BASE.items() for i in range(len(words)) if words[i : i + phrase.count(" ") + 1] == phrase.split()]
+        places = [i for i, _ in found]
+        return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in found}))
+
+    got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter((d, *brute(t)) for d, t in rows)
+
+
 def test_expressions():
     assert L.parse_expression("A OR B AND C".split()) == ["a", "b", "c", "and", "or"]
     assert L.parse_expression(["(", "A", "OR", "B", ")", "AND", "C"]) == ["a", "b", "or", "c", "and"]
@@ -190,6 +244,62 @@ def test_decontamination_of_slots_and_short_items(spark):
     assert found.get((6, 6), (0,))[0] < 6
 
 
+def brute_windows(docs, items):
+    """(doc, item) pairs that share a window of 8 words as it stands; texts here have words only."""
+    own = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    grams = lambda w: {tuple(w[i : i + 8]) for i in range(len(w) - 7)} if len(w) >= 8 else {tuple(w)} if w else set()
+    sets = [(i, grams(own(t)), min(8, len(own(t)))) for i, t in items if i is not None and t is not None]
+    out = {}
+    for d, t in docs:
+        w = own(t)
+        for i, g, n in sets:
+            hit = g & {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+            if d is not None and hit:
+                out[d, i] = max(out.get((d, i), 0), len(hit))
+    return out
+
+
+def test_decontamination_by_brute_force(spark):
+    """Verbatim passages of every length, a very long document, null and empty items, items that share an id."""
+    rng = random.Random(11)
+    make = lambda n: [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}x" for _ in range(n)]
+    items = [(k, " ".join(make(rng.choice([1, 4, 7, 8, 9, 30])))) for k in range(25)] + [(50, None), (51, ""), (None, "a b c")]
+    docs = []
+    for k in range(120):
+        w = make(rng.randrange(0, 60))
+        if k % 2:
+            t = items[rng.randrange(25)][1].split()
+            a = rng.randrange(len(t))
+            w[len(w) // 2 : len(w) // 2] = t[a : a + rng.randrange(1, 20)]
+        docs.append((k, " ".join(w)))
+    docs += [(500, " ".join(make(60000) + items[3][1].split() + make(60000))), (501, None), (502, "")]
+    table = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, item_id string")
+    got = {(r.doc_id, r.item_id): r.n_windows for r in contaminated(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_windows(docs, items)
+    assert clean_of(table.withColumnRenamed("item_id", "_found"), spark.createDataFrame(items, "item_id long, text string")).count() == len(docs) - len({d for d, _ in got})
+
+
+def test_reparameterised_arithmetic(spark):
+    """Few words and many slots: the template counts where all of the item is there, with one value for each of its values."""
+    item = "Compute 12 + 15 * 3 - 7 / 2 now please"
+    rows = [(1, "ok: Compute 4 + 25 * 9 - 8 / 6 now please"), (2, "Compute 4 + 25 now please"), (3, "x " + item), (4, "compute 1 2 3 4 5 later please")]
+    got = {r.doc_id: (r.item_id, r.reparameterised, r.coverage) for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (1, True, 1.0), 3: (1, False, 1.0)}
+    twice = [(1, "Add 5 and 5 and 6 to 7 or 8")]
+    rows = [(1, "Add 1 and 1 and 2 to 3 or 4"), (2, "Add 1 and 9 and 2 to 3 or 4")]
+    got = [r.doc_id for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(twice, "item_id long, text string")).collect()]
+    assert got == [1]
+
+
+def test_slotted_coverage(spark):
+    """Other slots throughout need a stated share of the item; the parameter says which."""
+    item = "the old man has 3 ropes in his boat and then one more of them went away to sea with 4 sailors of the king"
+    half = spark.createDataFrame([(1, "we say the old man has 9 ropes in his boat")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert contaminated(half, bench).count() == 0
+    assert [r.reparameterised for r in contaminated(half, bench, 0.05).collect()] == [True]
+
+
 def test_scores(docs, corpus, none):
     got = defaultdict(list)
     out = lm_scores(docs)
