@@ -12,7 +12,8 @@ from tokenizers import Tokenizer
 from wayfold.llm import license_scan as L
 from wayfold.llm import packing, quality_rules, token_counts
 from wayfold.llm.decontamination import clean_of, contaminated
-from wayfold.llm.html_extraction import extract_text, main_texts
+from wayfold.llm import html_extraction as H
+from wayfold.llm.html_extraction import extract_text
 from wayfold.llm.lm_scoring import bits_per_byte, lm_scores
 
 WORD = re.compile(r"[^ \t-\r]+")
@@ -195,31 +196,101 @@ def test_expressions():
     assert L.evaluate(L.parse_expression("MIT AND GPL-3.0-only".split()))[0] is False
 
 
+def main_texts(spark, htmls, url="http://h/"):
+    rows = spark.createDataFrame([(k, url, h) for k, h in enumerate(htmls)], "page_id long, url string, html string").repartition(3)
+    return [r.text for r in extract_text(rows).orderBy("page_id").collect()]
+
+
 def test_html(spark):
     page = '<body><header>Site</header><div class="menu"><a href=x>Home</a></div><div id="content"><h1>T &amp; m</h1><p>One  two<br>three</p><form>Mail</form></div><aside>s</aside><div id="cookie-notice">We</div><section id="comments"><p>Nice</p></section><footer>f</footer>'
     rows = [(1, "http://a/1", page), (2, None, None), (3, "http://b", "<article><p>x &lt; y</p><script>if (a<b) {}</script><div class=ad>buy</div></article>"), (3, "http://b", "<p>plain")]
     got = [(r.page_id, r.text, r.n_chars) for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
     assert sorted(got) == [(1, "T & m\n\nOne two three", 20), (2, "", 0), (3, "plain", 5), (3, "x < y", 5)]
     group = [f"<body><div><a href=/>Home</a> about us</div><div><h1>T{i}</h1><p>text {i} goes on here</p></div><div>Copyright us</div>" for i in range(4)]
-    assert main_texts(group) == [f"T{i}\n\ntext {i} goes on here" for i in range(4)]
+    assert main_texts(spark, group) == [f"T{i}\n\ntext {i} goes on here" for i in range(4)]
 
 
-def test_html_template_of_marked_pages():
+def test_html_template_of_marked_pages(spark):
     """What is the same on all pages goes from inside the article; a page without the mark has its text where the others have it."""
     page = "<body><div class=top>Site {i}</div><{t}><div class=box>Buy our things</div><div class=body><p>text {i} goes on</p></div></{t}><div class=end>us {i}</div>"
     group = [page.format(i=i, t="article") for i in range(4)]
-    assert main_texts(group) == [f"text {i} goes on" for i in range(4)]
-    assert main_texts([group[0]] * 4) == ["Buy our things\n\ntext 0 goes on"] * 4
+    assert main_texts(spark, group) == [f"text {i} goes on" for i in range(4)]
+    assert main_texts(spark, [group[0]] * 4) == ["Buy our things\n\ntext 0 goes on"] * 4
     group[3] = page.format(i=3, t="p")
-    assert main_texts(group)[3] == "text 3 goes on"
+    assert main_texts(spark, group)[3] == "text 3 goes on"
 
 
-def test_html_without_marks_keeps_text():
+def test_html_without_marks_keeps_text(spark):
     """Short slots and paragraphs of links stay; a class word makes no aside of what holds the page's text."""
     page = '<body class=x><div class=menu><a href=/>Home {i}</a></div><div class="has-sidebar"><div class=a>{long}</div><div class=b>by {i}</div><div class=c>So <a href=/>says the whole of source {i}</a></div></div>'
     group = [page.format(i=i, long=f"text {i} " * 40) for i in range(4)]
-    assert main_texts(group) == [("text %d " % i * 40).strip() + f"\n\nby {i}\n\nSo says the whole of source {i}" for i in range(4)]
-    assert main_texts(['<div id="content" class="no-sidebar"><p>One two</p><p><a href=/>three</a></p></div>']) == ["One two\n\nthree"]
+    assert main_texts(spark, group) == [("text %d " % i * 40).strip() + f"\n\nby {i}\n\nSo says the whole of source {i}" for i in range(4)]
+    assert main_texts(spark, ['<div id="content" class="no-sidebar"><p>One two</p><p><a href=/>three</a></p></div>']) == ["One two\n\nthree"]
+
+
+def test_html_odd_markup(spark):
+    """A form around the page, class words that only look like asides, elements left open, a quote that is not closed."""
+    cases = {
+        '<form id="aspnetForm"><div id="content"><p>One</p><p>Two</p></div><div>x</div></form>': "One\n\nTwo",
+        '<article><p>a</p><div class="share-of-market"><p>c</p></div></article>': "a\n\nc",
+        "<article><p>a</p><svg><path/><p>b</p></article>": "a\n\nb",
+        "<article><title>t<p>b</p><textarea>c</article>": "t\n\nb\n\nc",
+        '<article><p title="x>two</p><p>three</p></article>': "two\n\nthree",
+        "<article><p>a</p><div class='ad-slot-3'>buy</div><form>mail</form><svg><text>s</text></svg></article>": "a",
+        "<p>a &lt; b &amp; c</p>\n<p>  d\t e </p>": "a < b & c\n\nd e",
+    }
+    got = [r.text for k, h in enumerate(cases) for r in extract_text(spark.createDataFrame([(k, f"http://h{k}/", h)], "page_id long, url string, html string")).collect()]
+    assert got == list(cases.values())
+
+
+def test_html_template_decides_pages_without_marks(spark):
+    """Without the template the same pages give other texts: what is the same on all of them comes along."""
+    group = [f"<div><div>Our shop {'of ropes'}</div><div>story {i} is told here</div><div>Call us</div></div>" for i in range(5)]
+    assert main_texts(spark, group) == [f"story {i} is told here" for i in range(5)]
+    assert [H.main_text(h, set(), set(), set()) for h in group] == [f"Our shop of ropes\n\nstory {i} is told here\n\nCall us" for i in range(5)]
+
+
+def test_html_hosts_without_a_name_are_alone(spark):
+    """Null urls share no template; nor do urls without a host; repeated rows are one page; other columns do no harm."""
+    group = [f"<div>Our shop</div><div>story {i} is told here</div>" for i in range(4)]
+    rows = [(k, u, h, "x", k) for u in (None, "story", "http://a.b/c") for k, h in enumerate(group)]
+    got = Counter((r.url, r.text.count("Our shop")) for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, host string, fixed long")).collect())
+    assert got == {(None, 1): 4, ("story", 1): 4, ("http://a.b/c", 0): 4}
+    assert extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, host string, fixed long").limit(0)).count() == 0
+    long = "<article>" + "".join(f"<p>word{k} and more</p>" for k in range(60_000)) + "</article>"
+    assert main_texts(spark, [long])[0].count("\n\n") == 59_999
+
+
+def test_html_classes_by_brute_force(spark):
+    """Templates of random small sites equal those of a builder that holds each token's whole occurrence vector."""
+    rng = random.Random(4)
+    sites = {}
+    for host in range(6):
+        fixed = [f"line {host}.{k}" for k in range(4)]
+        for page in range(rng.choice([1, 2, 3, 9])):
+            parts = [f"<div class=c{k % 2}>" + rng.choice([fixed[k], fixed[k], f"own {page}.{k}", ""]) + "</div>" for k in range(4) if rng.random() < 0.9]
+            sites.setdefault(host, []).append("<main>".join(parts) if rng.random() < 0.5 else "".join(parts))
+    want = {}
+    for host, htmls in sites.items():
+        at = defaultdict(list)  # token: the pages it stands on, with its numbers there
+        for k, h in enumerate(htmls):
+            for token, n in H.page_tokens(h).items():
+                at[token].append((k, *n))
+        vector = {t: {k for k, *_ in v} for t, v in at.items()}
+        own = {(p, t) for p, t in at if t and len(vector[p, t]) >= 3 and len({htmls[k] for k in vector[p, t]}) > 1 and vector[p, t] == vector[p, 0]}
+        left = {p: [sum(x[j] for x in at[p, 0]) - sum(x[j] for q, t in own if q == p for x in at[q, t]) for j in (1, 2)] for p, t in at if not t and len(vector[p, 0]) >= 2}
+        want[host] = ({t for _, t in own}, {p for p, n in left.items() if n[1] > 0}, {p for p, n in left.items() if n[0] > 0})
+    rows = spark.createDataFrame([(host, h) for host, hs in sites.items() for h in hs], "host long, html string").repartition(5)
+    got = {r.host: (set(r.fixed), set(r.main), set(r.free)) for r in H.templates(rows).collect()}
+    assert got == {h: x for h, x in want.items() if any(x)} and any(x[0] for x in want.values())
+
+
+def test_html_templates_by_shuffle(spark, monkeypatch):
+    """Templates too large to send are joined by a shuffle, with the same texts."""
+    group = [f"<div>Our shop</div><div>story {i} is told here</div>" for i in range(6)]
+    want = main_texts(spark, group)
+    monkeypatch.setattr(H, "SENT", 0)
+    assert main_texts(spark, group) == want
 
 
 def test_decontamination(spark, docs, none):
