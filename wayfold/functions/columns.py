@@ -46,6 +46,41 @@ def threshold_bucket(score: Column, thresholds) -> Column:
     return out
 
 
+def first_present(df, names: list[str]) -> Column:
+    """The first of the columns that df has and that is not null or empty; null if it has none."""
+    have = [F.when(F.col(f"`{n}`").cast("string") != "", F.col(f"`{n}`")) for n in names if n in df.columns]
+    return F.coalesce(*have) if have else F.lit(None)
+
+
+# Names under which tables hold a piece's first segment, its length, and a sequence (fixed values).
+START_NAMES = ["start", "start_segment", "x_start"]
+COUNT_NAMES = ["cnt", "count", "num_segments"]
+LENGTH_NAMES = ["num_segments", "parent_num_segments", "length"]
+
+
+def event_start(df) -> Column:
+    """A piece's first segment, by the first name that df has for it, else of its segments."""
+    return F.coalesce(first_present(df, START_NAMES), F.get("segments", F.lit(0)) if "segments" in df.columns else F.lit(None))
+
+
+def event_count(df) -> Column:
+    """A piece's number of segments, by the first name that df has for it, else of its segments."""
+    return F.coalesce(first_present(df, COUNT_NAMES).cast("int"), segment_length(df))
+
+
+def segment_length(df) -> Column:
+    """The number of segments of a row: of the list if df has it, else the first stored length."""
+    if "segments" in df.columns:
+        return F.when(F.col("segments").isNotNull(), F.size("segments"))
+    return first_present(df, LENGTH_NAMES).cast("int")
+
+
+def nested(json: Column, path: str, default: str | None = None) -> Column:
+    """The value at a dotted path of a JSON document, else the default."""
+    value = F.get_json_object(json, "$." + path)
+    return value if default is None else F.coalesce(value, F.lit(default))
+
+
 def safe_number(x: Column, default: float | None = None) -> Column:
     """x as a finite double, else the default."""
     value = x.try_cast("double")

@@ -58,3 +58,49 @@ def alignment(events: DataFrame, risk: DataFrame) -> DataFrame:
     both = a.join(b, ["sbs_id", "t"], "full_outer")
     alone = F.col("u1").isNull() | F.col("u2").isNull()
     return both.agg(F.count_if(~alone).alias("matched"), F.count_if(alone).alias("alone"), F.count_if(~alone & ((F.col("u1") != F.col("u2")) | (F.col("v1") != F.col("v2")))).alias("different"))
+
+
+def upstream_gates(spark: SparkSession, splits: DataFrame, illegal_accepted: int, failed_risk: dict[str, int], fixed_thresholds: bool = True, global_ranking: bool = False) -> DataFrame:
+    """Gates over what the earlier stages say of themselves.
+
+    splits has split, min_coverage and n_illegal; failed_risk counts the records without a risk by split.
+    """
+    rows = [("no_illegal_accepted_sequence", illegal_accepted == 0, True, illegal_accepted)]
+    for r in splits.orderBy("split").collect():  # a row for each split
+        whole = abs((r["min_coverage"] or 0.0) - 1.0) <= 1e-12
+        rows.append((f"{r['split']}_coverage_and_legality", whole and r["n_illegal"] == 0, True, f"coverage {r['min_coverage']}, illegal {r['n_illegal']}"))
+    rows += [("fixed_public_thresholds", fixed_thresholds, True, fixed_thresholds), ("no_private_global_ranking", not global_ranking, True, global_ranking)]
+    rows += [(f"{s}_no_failed_risk_records", n == 0, True, n) for s, n in sorted(failed_risk.items())]
+    return gates(spark, rows)
+
+
+def report_gates(spark: SparkSession, name: str, audit: DataFrame, expected: int) -> DataFrame:
+    """Gates over one row of an audit of reports: no extra columns, all inside the public domain, as many as there should be."""
+    r = audit.head()
+    rows = [
+        (f"{name}_columns", r["extra_columns"] == 0, True, r["extra_columns"]),
+        (f"{name}_public_domain", r["outside_domain"] == 0 and ("bad_labels" not in audit.columns or r["bad_labels"] == 0), True, r["outside_domain"]),
+        (f"{name}_count", r["reports"] == expected, True, f"{r['reports']} of {expected}"),
+    ]
+    return gates(spark, rows)
+
+
+def budget_gates(spark: SparkSession, spent: DataFrame, cfg: PrivacyConfig) -> DataFrame:
+    """Gates over schedule_audit()'s greatest spend, and the randomiser's bounds."""
+    limit = bounds(cfg)
+    most = max(r["max_log_ratio"] for r in log_ratio(spark, cfg).collect())  # a row for each domain size
+    worst = spent.head()["most"] or 0.0
+    rows = [
+        ("transition_spend_within_budget", worst <= cfg.for_transitions + 1e-9, True, worst),
+        ("randomiser_log_ratio", most <= max(cfg.eps_event) + 1e-9, True, most),
+        ("piece_bound_is_finite", math.isfinite(limit["piece_bound"]), True, limit["piece_bound"]),
+    ]
+    return gates(spark, rows)
+
+
+def require(rows: DataFrame) -> DataFrame:
+    """rows, unless a hard gate among them fails."""
+    bad = [r["name"] for r in rows.where("hard and not passed").collect()]  # a row for each gate
+    if bad:
+        raise AssertionError(f"gates failed: {', '.join(bad)}")
+    return rows

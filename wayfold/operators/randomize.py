@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PrivacyConfig
@@ -26,13 +26,16 @@ def seed_of(method: str, split: Column, seed: int = 42) -> Column:
 def start_and_count(sbs: DataFrame, edges: DataFrame, cfg: PrivacyConfig, method: str, seed: int = 42) -> DataFrame:
     """split, sbs_id, start, start_noisy, cnt, cnt_noisy: the piece's first segment over all segments, its length over 1 to max_segments."""
     every = edges.select(F.col("u").alias("segment")).union(edges.select("v")).distinct()
-    listed = every.agg(F.array_sort(F.collect_list("segment")).alias("all"))  # the public segments, one row
+    ranked = every.select("segment", (F.row_number().over(Window.orderBy("segment")) - 1).alias("pos"))  # the public segments
+    size = ranked.agg(F.count("*").cast("int").alias("_d"))  # one row
     key = lambda draw: uniform(seed_of(method, F.col("split"), seed), F.col("sbs_id"), draw)
-    rows = sbs.select("split", "sbs_id", F.get("segments", F.lit(0)).alias("start"), F.size("segments").alias("cnt")).crossJoin(F.broadcast(listed))
-    at = (F.array_position("all", F.col("start")) - 1).cast("int")
-    noisy = respond(at, F.size("all"), F.lit(cfg.eps_start), key("start0"), key("start1"))
+    rows = sbs.select("split", "sbs_id", F.get("segments", F.lit(0)).alias("start"), F.size("segments").alias("cnt")).crossJoin(F.broadcast(size))
+    rows = rows.join(ranked.select(F.col("segment").alias("start"), "pos"), "start", "left")
+    noisy = respond(F.col("pos"), F.col("_d"), F.lit(cfg.eps_start), key("start0"), key("start1"))
     counts = respond(F.col("cnt") - 1, F.lit(cfg.max_segments), F.lit(cfg.eps_count), key("count0"), key("count1")) + 1
-    return rows.select("split", "sbs_id", "start", F.get("all", noisy).alias("start_noisy"), "cnt", counts.cast("int").alias("cnt_noisy"))
+    rows = rows.select("split", "sbs_id", "start", "cnt", noisy.alias("at"), counts.cast("int").alias("cnt_noisy"))
+    rows = rows.join(ranked.select(F.col("segment").alias("start_noisy"), F.col("pos").alias("at")), "at", "left")
+    return rows.select("split", "sbs_id", "start", "start_noisy", "cnt", "cnt_noisy")
 
 
 def successors(rows: DataFrame, edges: DataFrame, cfg: PrivacyConfig, method: str, eps: Column, bucket: Column, seed: int = 42) -> DataFrame:
@@ -93,3 +96,15 @@ def report_audit(reports: DataFrame, edges: DataFrame, buckets: int = 3) -> Data
     return rows.crossJoin(bad).withColumn("extra_columns", F.lit(len(extra)).cast("int"))  # one row each
 
 
+def start_audit(reports: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: start reports, columns that do not belong, segments that are not public."""
+    public = edges.select(F.col("u").alias("x_noisy")).union(edges.select("v")).distinct()
+    bad = reports.join(public, "x_noisy", "left_anti").agg(F.count("*").alias("outside_domain"))
+    rows = reports.agg(F.count("*").alias("reports"))
+    return rows.crossJoin(bad).withColumn("extra_columns", F.lit(len(set(reports.columns) - set(START))).cast("int"))  # one row each
+
+
+def count_audit(reports: DataFrame, max_segments: int) -> DataFrame:
+    """One row: length reports, columns that do not belong, lengths outside 1..max_segments."""
+    out = reports.agg(F.count("*").alias("reports"), F.count_if(F.coalesce(~F.col("x_noisy").between(1, max_segments), F.lit(True))).alias("outside_domain"))
+    return out.withColumn("extra_columns", F.lit(len(set(reports.columns) - set(COUNT))).cast("int"))

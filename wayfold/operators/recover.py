@@ -172,12 +172,18 @@ def project(x: np.ndarray) -> np.ndarray:
     return out / out.sum() if out.sum() > 0 else np.full(len(x), 1 / len(x))
 
 
+JOINT = "split string, u string, v string, k int, prob double, residual double, condition double, source string"
+
+
 def recover_joint(reports: DataFrame, domain: DataFrame, cfg: PrivacyConfig, rec: RecoveryConfig, mode: str = "latent") -> DataFrame:
-    """split, u, v, k, prob: successor and bucket together, for each context by itself.
+    """split, u, v, k, prob, residual, condition, source: successor and bucket together, for each context by itself.
 
     latent: constrained least squares and the simplex, for contexts with
-    joint_min_reports or more. mass: a heavy row asks for a sum of 1 instead,
-    and every context is solved; one successor alone takes all.
+    joint_min_reports or more (joint_marginals() has the others too). mass: a
+    heavy row asks for a sum of 1 instead, and every context is solved; one
+    successor alone takes all, and where nothing is left the clipped inverse of
+    the successors' shares at the first epsilon stands, spread evenly over the
+    buckets. residual is the norm of what is left, condition the channel's.
     """
     buckets = len(cfg.eps_event)
     lists = domain.groupBy("u").agg(F.array_sort(F.collect_list("v")).alias("domain"))
@@ -195,15 +201,49 @@ def recover_joint(reports: DataFrame, domain: DataFrame, cfg: PrivacyConfig, rec
             b[names.index(y), k - 1] = n
         b = b.ravel() / pdf["n"].sum()
         a = channel(d, cfg.eps_event, cfg.eps_bucket)
+        source = mode
         if mode == "latent":
-            x = project(nnls(a, b, rec.ridge))
+            x = nnls(a, b, rec.ridge)
+            residual = float(np.linalg.norm(a @ x - b))
+            x = project(x)
+        elif d == 1:
+            x, residual, source = np.full(buckets, 1 / buckets), 0.0, "single"
         else:
             weight = max(1.0, rec.mass_weight)
-            x = nnls(np.vstack([a, np.full((1, d * buckets), weight)]), np.r_[b, weight])
-            x = x / x.sum() if x.sum() > 1e-15 else np.full(d * buckets, 1 / (d * buckets))
-        return pd.DataFrame({"split": pdf["split"].iloc[0], "u": pdf["u"].iloc[0], "v": np.repeat(names, buckets), "k": np.tile(np.arange(1, buckets + 1), d).astype("int32"), "prob": x})
+            whole, right = np.vstack([a, np.full((1, d * buckets), weight)]), np.r_[b, weight]
+            x = nnls(whole, right)
+            residual = float(np.linalg.norm(whole @ x - right))
+            if x.sum() > 1e-15:
+                x = x / x.sum()
+            else:
+                x, source = np.repeat(clipped_shares(b.reshape(d, buckets).sum(1), cfg.eps_event[0]), buckets) / buckets, "fallback"
+        made = {"split": pdf["split"].iloc[0], "u": pdf["u"].iloc[0], "v": np.repeat(names, buckets), "k": np.tile(np.arange(1, buckets + 1), d).astype("int32"), "prob": x}
+        return pd.DataFrame(made | {"residual": residual, "condition": float(np.linalg.cond(a)), "source": source})
+
+    return rows.groupBy("split", "u").applyInPandas(solve, JOINT)
+
+
+def clipped_shares(f: np.ndarray, eps: float) -> np.ndarray:
+    """clipped_inverse() of one context's shares."""
+    from ..config import grr_parameters
+
+    p, q = grr_parameters(eps, len(f))
+    x = np.maximum(0, (f - q) / (p - q) if abs(p - q) > 1e-15 else f)
+    return x / x.sum() if x.sum() > 0 else f / f.sum()
+
+
+def joint_marginals(reports: DataFrame, domain: DataFrame, cfg: PrivacyConfig, rec: RecoveryConfig) -> DataFrame:
+    """split, u, v, prob, num_reports, domain_size, source: the joint recovery's successors; contexts with too few reports keep recover_context()'s."""
+    joint = recover_joint(reports, domain, cfg, rec)
+    found = joint.groupBy("split", "u", "v").agg(F.sum("prob").alias("joint"))
+    rows = recover_context(reports, domain, cfg, rec).join(found, ["split", "u", "v"], "left")
+    enough = F.col("num_reports") >= rec.joint_min_reports
+    return rows.select("split", "u", "v", F.when(enough, F.coalesce("joint", F.lit(0.0))).otherwise(F.col("prob")).alias("prob"), "num_reports", "domain_size", F.when(enough, "joint").otherwise("context").alias("source"))
+
 
-    return rows.groupBy("split", "u").applyInPandas(solve, "split string, u string, v string, k int, prob double")
+def bucket_marginals(joint: DataFrame) -> DataFrame:
+    """split, u, k, prob: the latent buckets of recover_joint()."""
+    return joint.groupBy("split", "u", "k").agg(F.sum("prob").alias("prob"))
 
 
 def merged(dists: DataFrame, keys: list[str]) -> DataFrame:

@@ -32,6 +32,25 @@ def pieces(sequences: DataFrame, max_segments: int = 30) -> DataFrame:
     )
 
 
+def faults(sequences: DataFrame) -> Column:
+    """Why a row is no sequence, or null: no list, fewer than two segments, a null or empty segment, times of another length."""
+    times = F.col("segment_times") if "segment_times" in sequences.columns else F.lit(None).cast("array<long>")
+    return (
+        F.when(F.col("segments").isNull(), "no_segments")
+        .when(F.size("segments") < 2, "fewer_than_two")
+        .when(F.exists("segments", lambda s: s.isNull() | (s == "")), "empty_segment")
+        .when(times.isNotNull() & (F.size(times) != F.size("segments")), "times_of_other_length")
+    )
+
+
+def checked(sequences: DataFrame, skip_invalid: bool = False) -> DataFrame:
+    """The rows that are sequences. A row that is none fails the query, or is left out if skip_invalid."""
+    fault = faults(sequences)
+    if skip_invalid:
+        return sequences.where(fault.isNull())
+    return sequences.where(F.assert_true(fault.isNull(), F.concat(F.lit("no sequence: "), F.coalesce(fault, F.lit("")))).isNull())
+
+
 def transitions(sbs: DataFrame) -> DataFrame:
     """A row for each pair of successive segments of a piece: t (from 1), global_pos, cnt, n_transitions, u, v, tau_u, tau_v, delta_t, start, stop."""
     keep = [c for c in sbs.columns if c not in ("segments", "segment_times", "num_sbs", "r_j", "parent_num_segments")]

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Why a trip was not matched.
 REASONS = ("too_few_points", "no_near_node", "one_node", "no_path", "too_few_segments")
+#: Paths that a task keeps, to search a pair of nodes once.
+WAYS_HELD = 100_000
 MATCHED = "traj_id string, taxi_id string, start_timestamp long, segments array<string>, segment_times array<long>, reason string"
 
 
@@ -51,14 +53,18 @@ def match(trips: DataFrame, nodes: DataFrame, roads: DataFrame, spark: SparkSess
     def match_all(batches):
         where, grid, out, cell = held.value
 
+        cells = [*grid] or [(0, 0)]
+        (x0, x1), (y0, y1) = ((min(c[k] for c in cells), max(c[k] for c in cells)) for k in (0, 1))
+
         def nearest(lon, lat):
             x, y = math.floor(lon / cell), math.floor(lat / cell)
             best = None
-            for ring in range(0, 64):
+            outside = max(x0 - x, x - x1, y0 - y, y - y1, 0)  # rings that hold no node
+            for ring in range(outside, max(abs(x - x0), abs(x - x1), abs(y - y0), abs(y - y1)) + 1):
                 for i in range(x - ring, x + ring + 1):
                     for j in range(y - ring, y + ring + 1):
                         if max(abs(i - x), abs(j - y)) == ring:
-                            for n in grid.get((i, j), ()):
+                            for n in grid.get((i, j), ()) if x0 <= i <= x1 and y0 <= j <= y1 else ():
                                 d = (where[n][0] - lon) ** 2 + (where[n][1] - lat) ** 2
                                 if best is None or (d, n) < best:
                                     best = (d, n)
@@ -66,7 +72,17 @@ def match(trips: DataFrame, nodes: DataFrame, roads: DataFrame, spark: SparkSess
                     break
             return None if best is None else best[1]
 
+        ways: dict = {}
+
         def path(a, b):
+            """The shortest path, searched once for a pair of nodes in a task."""
+            if (a, b) not in ways:
+                if len(ways) >= WAYS_HELD:
+                    ways.clear()
+                ways[a, b] = search(a, b)
+            return ways[a, b]
+
+        def search(a, b):
             if b in out.get(a, {}):
                 return [a, b]
             seen, queue, back = {a: 0.0}, [(0.0, a)], {}

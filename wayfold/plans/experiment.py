@@ -9,16 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ExperimentConfig
-from ..functions.tables import staged
+from ..functions.tables import finished, kept, staged
 from ..operators import evaluate as E
 from ..operators import graph, randomize, recover, risk, schedule, sequences, synthesis
 
-CARRY = ["split", "u", "v", "d"]
+METHODS = ("riskaware", "uniform", "degree")
+#: Stages that do not depend on the method, profile and seed.
+SHARED = ("split", "pieces", "transitions", "risk", "domain")
+#: What a stage's record says.
+DONE, REUSED = "DONE", "SKIPPED_EXISTING"
+#: What the seed of the synthetic walks adds to the experiment's, by method (fixed values).
+SYNTHESIS_SEEDS = {"riskaware": 7001, "uniform": 107004, "degree": 97001}
 
 
 @dataclass
 class Experiment:
-    """A run over sequences (traj_id, segments, segment_times) on a public graph (u, v); stages are made once and kept as tables."""
+    """A run over sequences (traj_id, segments, segment_times) on a public graph (u, v); stages are made once and kept as tables.
+
+    With a root, tables get places of their own below it, and a later run with
+    the same settings reads those that are whole. skip_invalid leaves out rows
+    that are no sequences; else they fail the run.
+    """
 
     spark: SparkSession
     sequences: DataFrame
@@ -27,16 +38,29 @@ class Experiment:
     seconds: dict[str, float] = field(default_factory=dict)
     tables: dict[str, DataFrame] = field(default_factory=dict)
     method: str = "riskaware"
+    root: str | None = None
+    skip_invalid: bool = False
+    records: list[dict] = field(default_factory=list)
+
+    def place(self, name: str) -> str:
+        own = "shared" if name in SHARED else f"{self.cfg.profile}_seed{self.cfg.seed}_{self.method}"
+        return f"{self.root.rstrip('/')}/{self.cfg.dataset.variant}/{own}/{name}"
 
     def stage(self, name: str) -> DataFrame:
         if name not in self.tables:
             before = time.perf_counter()
-            self.tables[name] = staged(getattr(self, f"_{name}")(), name)
+            status = DONE
+            if self.root and finished(self.spark, self.place(name)):
+                self.tables[name], status = self.spark.read.parquet(self.place(name)), REUSED
+            else:
+                made = getattr(self, f"_{name}")()
+                self.tables[name] = kept(made, self.place(name)) if self.root else staged(made, name)
             self.seconds[name] = time.perf_counter() - before
+            self.records.append({"stage": name, "status": status, "seconds": self.seconds[name]})
         return self.tables[name]
 
     def _split(self) -> DataFrame:
-        return sequences.split_of(self.sequences, "traj_id", self.cfg.dataset.ratios, self.cfg.dataset.seed)
+        return sequences.split_of(sequences.checked(self.sequences, self.skip_invalid), "traj_id", self.cfg.dataset.ratios, self.cfg.dataset.seed)
 
     def _pieces(self) -> DataFrame:
         return sequences.pieces(self.stage("split"), self.cfg.privacy.max_segments)
@@ -96,7 +120,7 @@ class Experiment:
         method = "constrained" if self.method == "riskaware" else "clipped"
         count = weigh(recover.recover_count(ends.select("split", F.col("cnt_noisy").alias("x_noisy")), self.cfg.privacy, method), n)
         rows = self.stage("pieces").where("split = 'test'").count()
-        return synthesis.walks(rows, start, count, options, self.cfg.privacy.max_segments, self.cfg.seed + 7001, self.spark)
+        return synthesis.walks(rows, start, count, options, self.cfg.privacy.max_segments, self.cfg.seed + SYNTHESIS_SEEDS[self.method], self.spark)
 
     def metrics(self) -> DataFrame:
         """One row: keep rate, recovery error, divergences of lengths, bigrams and transitions, legality of the synthetic walks."""
@@ -122,7 +146,50 @@ class Experiment:
         return out.select(F.lit(self.method).alias("method"), F.lit(self.cfg.profile).alias("profile"), F.lit(self.cfg.seed).alias("seed"), "*")
 
 
-def run_grid(spark: SparkSession, sequences_: DataFrame, edges: DataFrame, cfg: ExperimentConfig, profiles, seeds, methods=("riskaware", "uniform", "degree")) -> DataFrame:
+    def comparison(self) -> dict:
+        """The run's row of the main table; a synthetic walk off the graph, or another number of walks than the test split has pieces, fails."""
+        reports, syn = self.stage("reports"), self.stage("synthetic")
+        m = self.metrics().head()
+        high = reports.where("split = 'test' and target_bucket = 1").agg(F.coalesce(F.avg("keep_flag"), F.lit(0.0))).head()[0]
+        overall = reports.where("split = 'test'").agg(F.coalesce(F.avg("keep_flag"), F.lit(0.0))).head()[0]
+        exact = syn.agg(F.avg((F.size("segments") == F.col("target_count")).cast("int"))).head()[0]
+        wanted = self.stage("pieces").where("split = 'test'").count()
+        row = {
+            "method": self.method, "high_risk_keep_rate": high, "keep_rate_overall": overall, "transition_js": m["transition_js"], "synthetic_bigram_js": m["bigram_js"],
+            "synthetic_count_js": m["length_js"], "public_legal_ratio": m["legal_ratio"], "exact_count_rate": exact, "early_stop_rate": m["early_stops"],
+            "num_synthetic_trajectories": m["walks"], "transition_recovery_component": "transition_joint" if self.method == "degree" else "transition_context",
+        }
+        if row["public_legal_ratio"] < 1 - 1e-12:
+            raise AssertionError(f"{self.method}: a synthetic walk leaves the public graph")
+        if row["num_synthetic_trajectories"] != wanted:
+            raise AssertionError(f"{self.method}: {row['num_synthetic_trajectories']} walks for {wanted} pieces")
+        return row
+
+
+def assert_fresh(records: list[dict], stages: tuple[str, ...]) -> None:
+    """Raise unless each of the stages has a record and none was read from an earlier run, so that its seconds are its own."""
+    by_stage: dict[str, set[str]] = {}
+    for r in records:
+        by_stage.setdefault(r["stage"], set()).add(r["status"])
+    bad = [f"{s}: no record" for s in stages if s not in by_stage]
+    bad += [f"{s}: {', '.join(sorted(by_stage[s]))}" for s in stages if s in by_stage and (REUSED in by_stage[s] or DONE not in by_stage[s])]
+    if bad:
+        raise AssertionError("not fresh: " + "; ".join(bad))
+
+
+def compare(spark: SparkSession, sequences_: DataFrame, edges: DataFrame, cfg: ExperimentConfig, methods=METHODS, root: str | None = None) -> DataFrame:
+    """The main table, a row for each method, with its checks."""
+    shared: dict[str, DataFrame] = {}
+    rows = []
+    for method in methods:
+        run = Experiment(spark, sequences_, edges, cfg, method=method, root=root)
+        run.tables |= shared
+        rows.append(run.comparison())
+        shared |= {k: run.tables[k] for k in SHARED if k in run.tables}
+    return spark.createDataFrame(rows)  # a row for each method
+
+
+def run_grid(spark: SparkSession, sequences_: DataFrame, edges: DataFrame, cfg: ExperimentConfig, profiles, seeds, methods=METHODS) -> DataFrame:
     """The metrics of every profile, seed and method; stages that do not depend on them are made once."""
     shared: dict[str, DataFrame] = {}
     out: DataFrame | None = None
@@ -131,6 +198,6 @@ def run_grid(spark: SparkSession, sequences_: DataFrame, edges: DataFrame, cfg:
             run = Experiment(spark, sequences_, edges, c, method=method)
             run.tables |= shared
             row = staged(run.metrics(), "metrics")
-            shared |= {k: run.tables[k] for k in ("split", "pieces", "transitions", "risk", "domain") if k in run.tables}
+            shared |= {k: run.tables[k] for k in SHARED if k in run.tables}
             out = row if out is None else out.unionByName(row)
     return out

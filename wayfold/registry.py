@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .functions.columns import uniform
 from .functions.tables import staged
-from .operators import audits, evaluate, graph, randomize, recover, risk, schedule, sequences, synthesis, trips
+from .operators import audits, evaluate, graph, randomize, recover, risk, schedule, sequences, summaries, synthesis, trips
 from .oracle import CFG, num, sql
 from .sources import walks as W
 
@@ -177,12 +177,12 @@ def hop_distance(spark, d):
     return graph.hop_distances(_transitions(spark, d).select(F.col("u").alias("a"), F.col("stop").alias("b")).distinct(), W.public_edges(spark))
 
 
-@query("SELECT a, b, CAST(min(h) AS INTEGER) AS hops FROM bfs WHERE a IN ('s00', 's17', 's42') GROUP BY a, b")
+@query("SELECT a, b, CAST(min(h) AS INTEGER) AS hops FROM bfs GROUP BY a, b")
 def frontier_search(spark, d):
-    """The search by joins, which larger graphs take."""
+    """The search by joins, which larger graphs take, between all segments."""
     nodes = W.public_edges(spark).select("u").distinct()
-    pairs = nodes.where("u in ('s00', 's17', 's42')").select(F.col("u").alias("a")).join(nodes.select(F.col("u").alias("b")))
-    return graph._frontiers(pairs, W.public_edges(spark), 12)
+    pairs = nodes.select(F.col("u").alias("a")).join(nodes.select(F.col("u").alias("b")))  # the public segments, twice
+    return graph._frontiers(pairs, W.public_edges(spark), P.max_segments - 1)
 
 
 # risk
@@ -345,6 +345,14 @@ def recover_joint(spark, d):
     return recover.recover_joint(_visible(spark, d), _domain(spark), P, CFG.recovery)
 
 
+@query("SELECT split, u, CAST(max(num_reports) AS BIGINT) AS num_reports, CASE WHEN max(num_reports) >= 20 THEN 'joint' ELSE 'context' END AS source, 1e0 AS total, count(*) AS n_successors, CASE WHEN max(num_reports) < 20 THEN round(max(prob), 6) END AS top FROM ctx GROUP BY split, u")
+def recover_joint_marginals(spark, d):
+    """The joint recovery's successors for each context: all contexts are there, sums are 1, and those with few reports have the context's recovery."""
+    rows = recover.joint_marginals(_visible(spark, d), _domain(spark), P, CFG.recovery)
+    few = F.max("num_reports") < CFG.recovery.joint_min_reports
+    return rows.groupBy("split", "u").agg(F.max("num_reports").alias("num_reports"), F.max("source").alias("source"), F.round(F.sum("prob"), 6).alias("total"), F.count("*").alias("n_successors"), F.when(few, F.round(F.max("prob"), 6)).alias("top"))
+
+
 @query(None)
 def recover_degree(spark, d):
     seen = staged(_degree(spark, d).select(*randomize.TRANSITION), "reports")
@@ -397,14 +405,23 @@ _U = O.uniform("'7'", "concat('syn', i)", "{}")
 )
 def even_walks(spark, d):
     """200 walks of 8 segments where every successor is alike, each from a given start."""
+    return _even(spark, synthesis.HELD)
+
+
+def _even(spark, held):
     dom = _domain(spark)
     none = dom.select("u", "v", F.lit(0.0).alias("prob")).limit(0)
-    options = synthesis.candidates(none, dom, none.select("v", "prob"))
-    listed = options.where("more").groupBy("u").agg(F.array_sort(F.collect_list(F.struct("pos", "v", "cum"))).alias("o"))
-    table = listed.agg(F.map_from_entries(F.collect_list(F.struct("u", "o"))).alias("table"))
-    rows = spark.range(1, 201).select(F.concat(F.lit("syn"), F.col("id")).alias("syn_id"), F.array(W.segment_id(F.col("id") % 64)).alias("path")).crossJoin(F.broadcast(table))
-    step = lambda p, i: F.concat(p, F.array(synthesis._pick(F.element_at(F.col("table"), F.element_at(p, -1)), uniform(7, F.col("syn_id"), i))["v"]))
-    return rows.select("syn_id", F.array_join(F.aggregate(F.sequence(F.lit(2), F.lit(8)), F.col("path"), step), ",").alias("path"))
+    options = staged(synthesis.candidates(none, dom, none.select("v", "prob")), "candidates")
+    rows = spark.range(1, 201).select(F.concat(F.lit("syn"), F.col("id")).alias("syn_id"), W.segment_id(F.col("id") % 64).alias("first"), F.lit(8).alias("target_count"))
+    return synthesis.grow(rows, options, 8, 7, held).select("syn_id", F.array_join("path", ",").alias("path"))
+
+
+def even_walks_by_joins(spark, d):
+    """The same by a join for each step, which larger graphs take."""
+    return _even(spark, 0)
+
+
+QUERIES["even_walks_by_joins"], ORACLE_SQL["even_walks_by_joins"] = even_walks_by_joins, ORACLE_SQL["even_walks"]
 
 
 # metrics
@@ -495,6 +512,62 @@ def alignment_audit(spark, d):
     return audits.alignment(_transitions(spark, d), _risk(spark, d))
 
 
+@query(f"SELECT count(*) AS reports, CAST(0 AS BIGINT) AS outside_domain, CAST(0 AS INTEGER) AS extra_columns FROM ends WHERE cnt_noisy BETWEEN 1 AND {O.L}")
+def count_report_audit(spark, d):
+    return randomize.count_audit(_ends(spark, d).select("split", F.col("cnt_noisy").alias("x_noisy")), P.max_segments)
+
+
+@query("SELECT count(*) AS reports, count(*) FILTER (start_noisy = 's05') AS outside_domain, CAST(1 AS INTEGER) AS extra_columns FROM ends")
+def start_report_audit(spark, d):
+    """Against a public graph without one segment, and with a column that does not belong."""
+    rows = _ends(spark, d).select("split", F.col("start_noisy").alias("x_noisy"), "sbs_id")
+    return randomize.start_audit(rows, W.public_edges(spark).where("u <> 's05' and v <> 's05'"))
+
+
+@query("SELECT 'train' AS split, count(*) AS matched, CAST(0 AS BIGINT) AS alone, count(*) FILTER (v <> 's09' AND t = 2) AS different FROM tr WHERE split = 'train'")
+def alignment_of_changed_rows(spark, d):
+    """Risk rows whose second successors have been overwritten."""
+    rows = staged(_transitions(spark, d).where("split = 'train'"), "transitions")
+    changed = rows.withColumn("v", F.when(F.col("t") == 2, "s09").otherwise(F.col("v")))
+    return audits.alignment(rows, changed).select(F.lit("train").alias("split"), "*")
+
+
+# summaries of sequences
+
+
+@query(
+    f"""WITH s AS (SELECT k.split, np FROM (SELECT unnest(['train', 'valid', 'test']) AS split) k LEFT JOIN (SELECT split, np FROM par JOIN spl USING (traj_id)) x USING (split))
+    SELECT split, count(np) AS num_records, round(coalesce(avg(np), 0), 9) AS avg_segments, coalesce(median(np), 0e0) AS median_segments, coalesce(list_sort(list(np) FILTER (np IS NOT NULL))[CAST(ceil(0.95 * count(np)) AS BIGINT)], 0) AS p95_segments,
+    coalesce(min(np), 0) AS min_segments, coalesce(max(np), 0) AS max_segments, count(*) FILTER (np > {O.L}) AS num_long, round(coalesce(count(*) FILTER (np > {O.L}) / nullif(count(np), 0), 0), 9) AS fraction_long FROM s GROUP BY split"""
+)
+def split_lengths(spark, d):
+    out = summaries.split_lengths(sequences.split_of(_walks(spark, d), "traj_id"), P.max_segments)
+    return out.withColumns({"avg_segments": F.round("avg_segments", 9), "fraction_long": F.round("fraction_long", 9)})
+
+
+@query(
+    """WITH q AS (SELECT split, traj_id, count(*) AS q, max(np) AS n, max(r_j - a_j + 1) AS most, sum(r_j - a_j) AS held FROM sbs GROUP BY ALL),
+    p AS (SELECT split, count(*) AS num_parents, sum(q) AS num_pieces, count(*) FILTER (q = 1) AS num_single, count(*) FILTER (q > 1) AS num_multi, max(q) AS max_pieces, sum(n) AS total, max(most) AS most, sum(held) / sum(n - 1) AS min_coverage FROM q GROUP BY split)
+    SELECT 'walks' AS dataset, split, CAST(sum(num_parents) AS BIGINT) AS num_parents, CAST(sum(num_pieces) AS BIGINT) AS num_pieces, CAST(sum(num_single) AS BIGINT) AS num_single, CAST(sum(num_multi) AS BIGINT) AS num_multi, round(sum(num_multi) / sum(num_parents), 9) AS fraction_multi,
+    round(sum(num_pieces) / sum(num_parents), 9) AS avg_pieces, CAST(max(max_pieces) AS BIGINT) AS max_pieces, round(sum(total) / sum(num_parents), 9) AS avg_parent_segments, CAST(max(most) AS INTEGER) AS max_piece_segments, min(min_coverage) AS min_coverage FROM p GROUP BY GROUPING SETS ((split), ())"""
+)
+def piece_statistics(spark, d):
+    return summaries.piece_statistics(_pieces(spark, d))
+
+
+_ID = "CAST(substr(traj_id, 2) AS BIGINT) % 5"
+
+
+@query(f"SELECT CASE WHEN {_ID} = 2 THEN 'no_segments' WHEN np < 2 OR {_ID} = 0 THEN 'fewer_than_two' WHEN {_ID} = 3 THEN 'empty_segment' WHEN {_ID} = 1 THEN 'times_of_other_length' END AS fault, count(*) AS n FROM par GROUP BY 1")
+def sequence_faults(spark, d):
+    """Faults of walks that have been damaged, each fifth in another way."""
+    k = F.substring("traj_id", 2, 20).cast("long") % 5
+    damaged = F.when(k == 2, None).when(k == 0, F.slice("segments", 1, 1)).when(k == 3, F.concat(F.array(F.lit("")), F.slice("segments", 2, 1_000_000))).otherwise(F.col("segments"))
+    times = F.when(k == 1, F.slice("segment_times", 2, 1_000_000)).when(k == 0, F.slice("segment_times", 1, 1)).otherwise(F.col("segment_times"))
+    rows = _walks(spark, d).withColumns({"segments": damaged, "segment_times": times})
+    return rows.groupBy(sequences.faults(rows).alias("fault")).agg(F.count("*").alias("n"))
+
+
 # experiments: rows as if of runs, made from the line items
 
 
