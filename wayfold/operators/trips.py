@@ -61,13 +61,13 @@ def match(trips: DataFrame, nodes: DataFrame, roads: DataFrame, spark: SparkSess
             best = None
             outside = max(x0 - x, x - x1, y0 - y, y - y1, 0)  # rings that hold no node
             for ring in range(outside, max(abs(x - x0), abs(x - x1), abs(y - y0), abs(y - y1)) + 1):
-                for i in range(x - ring, x + ring + 1):
-                    for j in range(y - ring, y + ring + 1):
-                        if max(abs(i - x), abs(j - y)) == ring:
-                            for n in grid.get((i, j), ()) if x0 <= i <= x1 and y0 <= j <= y1 else ():
-                                d = (where[n][0] - lon) ** 2 + (where[n][1] - lat) ** 2
-                                if best is None or (d, n) < best:
-                                    best = (d, n)
+                for i in range(max(x - ring, x0), min(x + ring, x1) + 1):
+                    side = range(max(y - ring, y0), min(y + ring, y1) + 1) if abs(i - x) == ring else (j for j in {y - ring, y + ring} if y0 <= j <= y1)
+                    for j in side:
+                        for n in grid.get((i, j), ()):
+                            d = (where[n][0] - lon) ** 2 + (where[n][1] - lat) ** 2
+                            if best is None or (d, n) < best:
+                                best = (d, n)
                 if best is not None and best[0] <= (ring * cell) ** 2:
                     break
             return None if best is None else best[1]
