@@ -393,11 +393,75 @@ def test_every_training_document_teaches_the_mixer(spark, monkeypatch):
 
     taught = []
     average = lm_scoring.Mixer.average
-    monkeypatch.setattr(lm_scoring.Mixer, "average", lambda self, learned, n: (taught.append(n), average(self, learned, n))[1])
+    monkeypatch.setattr(lm_scoring.Mixer, "average", lambda self, sums: (taught.append(sums), average(self, sums))[1])
     rows = [(k, f"a{k % 7} b c", "en") for k in range(8000)]
     lm_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).count()
-    tokens = 4 * sum(zlib.crc32(str(k).encode()) % 5 != 1 for k in range(8000))
-    assert [(int(n["weights/group"].sum()), int(n["refine/class"].sum())) for n in taught] == [(3 * tokens, 5 * tokens)]
+    training = sum(zlib.crc32(str(k).encode()) % 5 != 1 for k in range(8000))
+    classes = taught[0]["taught/weights/word"][: 64 * lm_scoring._GATES].reshape(64, -1).sum(1)
+    assert classes.max() == 4 * training  # every token passes the root of the class code
+
+
+def captured_model(monkeypatch, L, docs):
+    """The mixer and the coded blocks of a scoring run."""
+    seen = {}
+    score, staged = L._score, L.S.staged
+    monkeypatch.setattr(L, "_score", lambda model, code, floor: (seen.update(mixer=model.value, code=code), score(model, code, floor))[1])
+    monkeypatch.setattr(L.S, "staged", lambda df, name: seen.setdefault(name, staged(df, name)))
+    seen["out"] = L.lm_scores(docs).collect()
+    seen["blocks"] = [L.Block(bytes(r.payload), seen["code"]) for r in seen["lm-coded"].collect()]
+    return seen
+
+
+def test_chances_of_all_tokens_add_up(spark, monkeypatch):
+    """Over all words, the end and unknown words, the chances of a first token make 1, less what bits asked of all words give to places without one; a scalar mixer gives the same chances."""
+    from wayfold.llm import lm_scoring as L
+
+    rng = random.Random(7)
+    ids = [k for k in range(4000) if zlib.crc32(str(k).encode()) % 5 != 1]
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 == 1]
+    rows = [(ids[k], " ".join([f"v{k % 90}"] + [f"v{int(rng.paretovariate(1)) % 90}" for _ in range(8)]), "en") for k in range(300)] + [(ids[300], "", "en"), (held[0], "unheard of", "en"), (held[1], "", "en")]
+    got = captured_model(monkeypatch, L, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    chance = {}
+    for block in got["blocks"]:
+        tokens, _ = L.token_scores(got["mixer"], block)
+        for k in block.at[:-1]:
+            chance["unknown" if block.cls[k] == L.UNKNOWN else int(block.words[k])] = 10 ** tokens[k]
+    assert len(chance) == 92 and 0.95 < sum(chance.values()) < 1 + 1e-6
+    mixer, block = got["mixer"], got["blocks"][0]
+    for kind, (bit, slots, sets, _) in list(L.decisions(block))[:12]:
+        fast = mixer.log10(kind, bit, slots, sets)
+        for i in range(0, len(bit), 17):
+            gate = int(mixer.gates[kind][slots[-1][i]]) + int(mixer.sure[kind][slots[0][i]])
+            logit = sum(float(mixer.ready[f"{kind}/{k}"][s[i]]) * float(mixer.weights[kind][k][int(sets[i]) * L._GATES + gate]) for k, s in enumerate(slots))
+            logit = min(7.99, max(-7.99, logit))
+            place = (logit + 8) * 2
+            table = mixer.refine[kind].reshape(-1, 33)[int(sets[i])]
+            fine = table[int(place)] * (1 - place % 1) + table[int(place) + 1] * (place % 1)
+            p = 0.5 / (1 + math.exp(-logit)) + 0.5 * fine
+            assert abs(fast[i] - math.log10(max(p if bit[i] else 1 - p, 1e-6))) < 1e-6
+
+
+def test_scores_do_not_depend_on_the_dealing(spark, docs):
+    """The same to the last bit for one, four and seven partitions, and other numbers of shuffle partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for n in (1, 4, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            seen.append(Counter((r.doc_id, r.score, r.base_score) for r in lm_scores(docs.repartition(n)).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_scores_without_training_documents_or_groups(spark):
+    """Null groups, more groups than there is room for, null ids, and a table that teaches nothing."""
+    held = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5 == 1]
+    rows = [(k, "some words here", None) for k in held] + [(None, "some words", "x")]
+    out = lm_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == len(rows) and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) and r.score < 0 for r in out)
+    many = spark.createDataFrame([(k, f"w{k % 12} x y", f"l{k % 12}") for k in range(200)], "doc_id long, text string, lang string")
+    assert lm_scores(many).count() == 200 and lm_scores(many.drop("lang"), None).count() == 200
 
 
 def test_held_out_text_is_scored_better_than_by_counts(spark):

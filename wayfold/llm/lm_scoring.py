@@ -1,92 +1,173 @@
 """Language-model scores by online logistic context mixing.
 
-A token is coded by binary decisions: three bits for the group of documents
-that its word is most at home in, five for the class of its count (its own for
-the end and for unknown words), and, for an unknown word, eight for each of its
-bytes. Within a group and class a known word has its share of the counts there.
-Each bit is predicted by several predictors, each a table of counts by a hashed
-context; their predictions are mixed in the logistic domain by weights that a
-gate selects, and an adaptive table refines the result. Weights and table are
-learned online, bit by bit ahead of each update, from all training documents:
-in each partition of its own, and then averaged by how often each was taught.
+Every token is coded by binary decisions. The first name the class of its count
+among training tokens (a Huffman code over classes; the end and unknown words
+have classes of their own). The next name the word within its class: those bits
+of its hash that tell it from other training words of the class. An unknown
+word is spelled, eight bits for each byte. Each bit is predicted by several
+predictors, each a table of counts by a hashed context (none, the groups of the
+last two words, the last word, the last two words; for bytes the last one to
+four bytes). Predictions are mixed in the logistic domain by weights that a gate
+selects, and an adaptive table refines the result. Weights and table are learned
+online, bit by bit ahead of each update, from all training documents, within
+lots that a hash of the documents makes up, in the order of doc_id; lots are
+averaged by how often each was taught. Nothing depends on how a table is dealt.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _shared as S
-from ._repeats import dealt, loads, pack, unpack
+from ._repeats import pack, unpack
 from .near_dedup import _LOWER
 
 GROUPS, CLASSES = 8, 32
 END, UNKNOWN = 0, 1
 _END_WORD = np.array([0x5EEDF00D], np.uint64)
+#: Bytes of text in a lot, and bytes of text for each bucket of words.
+LOT, SHARE = 6 << 20, 8 << 20
 #: Bits of the hashed tables of each kind of decision, one for each predictor.
-TABLES = {"group": (4, 8, 12, 14), "class": (9, 14, 19, 17), "byte": (8, 16, 19, 20, 20)}
-_GATES = 8  # by how often the last predictor has seen its context
+TABLES = {"word": (20, 19, 20, 20), "byte": (8, 16, 19, 20, 20)}
+#: Sets of weights: for a word one for each node of the class code and each bit of a hash, for a byte one for each node.
+SETS = {"word": 64 + 32, "byte": 256}
+_SEEN = 8
+_GATES = 2 * _SEEN  # by how often the last predictor has seen its context, and whether the first has seen one bit only
 _BINS = 33
+_CHUNK, _STEP = 1 << 15, 1 << 13
+TALLY, LEARN = 1, 2
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Learned values travel as whole numbers of this size, so that their sums are the same in any order.
+_UNIT = float(1 << 24)
+
+
+def class_code(weights: dict[int, int]) -> list[list[tuple[int, int]]]:
+    """Huffman code over the classes: for each class its decisions, as (node, bit); ties go by class."""
+    heap = [(w, c, ("leaf", c)) for c, w in sorted(weights.items())]
+    heapq.heapify(heap)
+    nodes = 0
+    while len(heap) > 1:
+        (w0, c0, a), (w1, c1, b) = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, (w0 + w1, min(c0, c1), ("node", nodes, a, b)))
+        nodes += 1
+    out: list[list[tuple[int, int]]] = [[] for _ in range(CLASSES)]
+
+    def walk(tree, path):
+        if tree[0] == "leaf":
+            out[tree[1]] = path
+        else:
+            walk(tree[2], [*path, (tree[1], 0)])
+            walk(tree[3], [*path, (tree[1], 1)])
+
+    walk(heap[0][2], [])
+    return out
+
+
+class Code:
+    """class_code() as arrays: the length for each class, and node and bit of each of its decisions."""
+
+    def __init__(self, weights: dict[int, int]):
+        paths = class_code(weights)
+        self.size = np.array([len(p) for p in paths], np.int64)
+        longest = max(1, int(self.size.max()))
+        self.node, self.bit = (np.array([[x[k] for x in p] + [0] * (longest - len(p)) for p in paths], np.int64) for k in (0, 1))
 
 
-def _slots(kind: str, node: np.ndarray, contexts: list[np.ndarray]) -> list[np.ndarray]:
-    out = []
-    for bits, c in zip(TABLES[kind], contexts, strict=True):
-        key = S.mix(c.astype(np.uint64) * np.uint64(257) + node.astype(np.uint64))
-        out.append((key >> np.uint64(64 - bits)).astype(np.int64))
+def identity(names: np.ndarray) -> np.ndarray:
+    """The bits that tell a word within its class, first bit on top."""
+    return (S.mix(names * _M1) >> np.uint64(32)).astype(np.uint32)
+
+
+def _before(x: np.ndarray, first: np.ndarray, start) -> np.ndarray:
+    """x one place back; `start` at a document's beginning."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[first] = start
     return out
 
 
-def _previous(x: np.ndarray, first: np.ndarray, k: int, start: int) -> np.ndarray:
-    """x one place back, k times; `start` before a document's beginning."""
-    for _ in range(k):
-        x = np.r_[start, x[:-1]].astype(np.int64) if len(x) else x.astype(np.int64)
-        x[first] = start
-    return x
-
-
-def code_bits(codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
-    """Decisions of tokens: kind, bit, slots of the predictors, node and token, a set for each of the eight steps."""
-    g, f = codes[:, 0].astype(np.int64), codes[:, 1].astype(np.int64)
-    first = offsets[:-1][np.diff(offsets) > 0]
-    g1, f1 = _previous(g, first, 1, GROUPS), _previous(f, first, 1, CLASSES)
-    g2, f2 = _previous(g1, first, 1, GROUPS), _previous(f1, first, 1, CLASSES)
-    at = np.arange(len(g))
-    node = np.ones(len(g), np.int64)
-    for j in (2, 1, 0):
-        bit = (g >> j) & 1
-        yield "group", bit, _slots("group", node, [np.zeros_like(g), g1, g1 * 9 + g2, g1 * 33 + f1]), node, at
-        node = node * 2 + bit
-    node = np.ones(len(g), np.int64)
-    for j in (4, 3, 2, 1, 0):
-        bit = (f >> j) & 1
-        yield "class", bit, _slots("class", node, [g, g * 33 + f1, (g * 33 + f1) * 33 + f2, (g * 9 + g1) * 33 + f1]), node, at
-        node = node * 2 + bit
+def contexts(words: np.ndarray, group: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """A hash of each predictor's context, for each token; a document's first token has none before it."""
+    first = at[:-1][np.diff(at) > 0]
+    w1 = _before(words, first, 0)
+    w2 = _before(w1, first, 0)
+    g1 = _before(group.astype(np.uint64), first, GROUPS)
+    g2 = _before(g1, first, GROUPS)
+    return [np.zeros(len(words), np.uint64), S.mix(g1 * np.uint64(GROUPS + 1) + g2 + np.uint64(1)), S.mix(w1 + np.uint64(2)), S.mix(w1 * _M1 + w2 + np.uint64(3))]
+
 
+def _slots(kind: str, node: np.ndarray, hashes: list[np.ndarray]) -> list[np.ndarray]:
+    key = (node + np.uint64(1)) * _M1
+    return [(((h ^ key) * _M2) >> np.uint64(64 - bits)).astype(np.int32) for bits, h in zip(TABLES[kind], hashes, strict=True)]
 
-def byte_bits(data: np.ndarray) -> Iterator[tuple]:
-    """Decisions of words that are each closed by a space: the same, for each of a byte's eight steps."""
-    x = data.astype(np.int64)
+
+def word_bits(code: Code, cls: np.ndarray, own: np.ndarray, ident: np.ndarray, mask: np.ndarray, hashes: list[np.ndarray], a: int, b: int) -> Iterator[tuple]:
+    """Decisions of tokens a to b: bit, slots, set of weights and token, a set for each step.
+
+    The class is cls; the word is told within its class own, if mask has bits.
+    """
+    c = cls[a:b].astype(np.int64)
+    for j in range(int(code.size[c].max(initial=0))):
+        at = np.flatnonzero(code.size[c] > j)
+        node = code.node[c[at], j]
+        yield code.bit[c[at], j], _slots("word", node.astype(np.uint64), [h[a:b][at] for h in hashes]), node, at + a
+    m = mask[a:b]
+    for j in range(32):
+        at = np.flatnonzero(m & np.uint32(1 << j))
+        if len(at):
+            x = ident[a:b][at].astype(np.uint64)
+            node = ((own[a:b][at].astype(np.uint64) + np.uint64(1)) << np.uint64(40)) | (np.uint64(j) << np.uint64(33)) | (x >> np.uint64(32 - j))
+            yield ((x >> np.uint64(31 - j)) & np.uint64(1)).astype(np.int64), _slots("word", node, [h[a:b][at] for h in hashes]), np.full(len(at), 64 + j), at + a
+
+
+def byte_contexts(data: np.ndarray) -> list[np.ndarray]:
+    """The same for words that are each closed by a space."""
+    x = data.astype(np.uint64)
     first = np.flatnonzero(np.r_[True, data[:-1] == 32]) if len(data) else np.zeros(0, np.int64)
-    c1 = _previous(x, first, 1, 32)
-    c2 = _previous(c1, first, 1, 32)
-    c3 = _previous(c2, first, 1, 32)
-    c4 = _previous(c3, first, 1, 32)
-    at = np.arange(len(x))
-    node = np.ones(len(x), np.int64)
+    c = [x]
+    for _ in range(4):
+        c.append(_before(c[-1], first, 32))
+    out, key = [np.zeros(len(x), np.uint64)], np.zeros(len(x), np.uint64)
+    for k in range(1, 5):
+        key = key * np.uint64(256) + c[k]
+        out.append(S.mix(key + np.uint64(k << 40)))
+    return out
+
+
+def byte_bits(data: np.ndarray, hashes: list[np.ndarray], a: int, b: int) -> Iterator[tuple]:
+    x = data[a:b].astype(np.int64)
+    near = [h[a:b] for h in hashes]
+    at, node = np.arange(a, b), np.ones(b - a, np.int64)
     for j in range(7, -1, -1):
         bit = (x >> j) & 1
-        yield "byte", bit, _slots("byte", node, [np.zeros_like(x), c1, c1 * 256 + c2, (c1 * 256 + c2) * 256 + c3, ((c1 * 256 + c2) * 256 + c3) * 256 + c4]), node, at
+        yield bit, _slots("byte", node.astype(np.uint64), near), node, at
         node = node * 2 + bit
 
 
-def _stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+def decisions(block: Block, teach: int = 0) -> Iterator[tuple]:
+    """(kind, decisions) of a block, chunk by chunk.
+
+    teach: of its training documents, with the class that each word would have
+    had it not been counted; for the mixer, words that are counted twice or more
+    (LEARN), for the tables, all (TALLY).
+    """
+    cls, data = (block.less, block.rare) if teach else (block.cls, block.unknown)
+    columns = [cls, block.cls, block.ident, np.where(block.count > 1, block.mask, np.uint32(0)) if teach == LEARN else block.mask, *contexts(block.words, block.group, block.at)]
+    if teach:
+        pick = np.flatnonzero(np.repeat(block.train, np.diff(block.at)))
+        columns = [x[pick] for x in columns]
+    n = len(columns[0])
+    for a in range(0, n, _CHUNK):
+        yield from (("word", d) for d in word_bits(block.code, *columns[:4], columns[4:], a, min(a + _CHUNK, n)))
+    hashes = byte_contexts(data)
+    for a in range(0, len(data), _CHUNK):
+        yield from (("byte", d) for d in byte_bits(data, hashes, a, min(a + _CHUNK, len(data))))
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -94,116 +175,107 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Count tables by kind and predictor, mixing weights by kind, node and gate, and the refining tables."""
+    """Count tables by kind and predictor, mixing weights by kind, predictor, set and gate, and the refining tables."""
 
     def __init__(self, counts: dict[str, np.ndarray]):
-        """counts: by "kind/predictor", a row of zeros and ones seen for each slot."""
-        self.counts = counts
-        nodes = {"group": 8, "class": 32, "byte": 256}
-        self.weights = {k: np.full((n, _GATES, len(TABLES[k])), 0.3, np.float32) for k, n in nodes.items()}
+        """counts: by "kind/predictor", zeros and ones seen, two for each slot."""
+        self.weights = {k: np.full((len(TABLES[k]), n * _GATES), 0.3, np.float64) for k, n in SETS.items()}
         edges = _squash(np.linspace(-8, 8, _BINS))
-        self.refine = {k: np.repeat(edges[None, :], n, 0).astype(np.float32) for k, n in nodes.items()}
-        self.taught = {f"weights/{k}": np.zeros((n, _GATES), np.int64) for k, n in nodes.items()} | {f"refine/{k}": np.zeros((n, _BINS), np.int64) for k, n in nodes.items()}
-        self.ready: dict[str, np.ndarray] | None = None
-
-    def freeze(self) -> None:
-        """Stretched predictions in place of counts, and the gate of each slot of the last predictor."""
-        self.ready = {k: _stretch((c[:, 1] + 0.4) / (c.sum(1) + 0.8)).astype(np.float32) for k, c in self.counts.items()}
-        self.gates = {kind: self._gate(self.counts[f"{kind}/{len(b) - 1}"].sum(1)) for kind, b in TABLES.items()}
+        self.refine = {k: np.tile(edges, n) for k, n in SETS.items()}
+        self.taught = {f"weights/{k}": np.zeros(n * _GATES, np.int64) for k, n in SETS.items()} | {f"refine/{k}": np.zeros(n * _BINS, np.int64) for k, n in SETS.items()}
+        self.counts = counts
+        self.ready: dict[str, np.ndarray] = {}
+        self.gates: dict[str, np.ndarray] = {}
+        self.sure: dict[str, np.ndarray] = {}
+
+    def freeze(self, without_own: bool = False) -> Mixer:
+        """Stretched predictions in place of counts; without_own: for each slot and bit, without the one that the counts hold of it."""
+        for name, c in self.counts.items():
+            kind, k = name.split("/")
+            c = c.reshape(-1, 2).astype(np.float64)
+            if without_own:
+                c = np.repeat(c[:, None, :], 2, 1)
+                for bit in (0, 1):
+                    c[:, bit, bit] = np.maximum(0, c[:, bit, bit] - 1)
+                c = c.reshape(-1, 2)
+            n = c.sum(1)
+            p = (c[:, 1] + 0.4) / (n + 0.8)
+            self.ready[name] = np.log(p / (1 - p)).astype(np.float32)
+            if int(k) == len(TABLES[kind]) - 1:
+                self.gates[kind] = np.minimum(_SEEN - 1, np.ceil(np.log2(n + 1))).astype(np.int8)
+            if int(k) == 0:
+                self.sure[kind] = ((n > 0) & (c.min(1) == 0)).astype(np.int8) * np.int8(_SEEN)
         self.counts = {}
-
-    def without_own(self) -> None:
-        """As freeze(), to learn: for each slot and bit, without the one that the counts hold of it."""
-
-        def less(c: np.ndarray) -> np.ndarray:
-            out = np.repeat(c[:, None, :], 2, 1)
-            for bit in (0, 1):
-                out[:, bit, bit] = np.maximum(0, out[:, bit, bit] - 1)
-            return out
-
-        last = {f"{kind}/{len(b) - 1}": kind for kind, b in TABLES.items()}
-        self.own, self.own_gates = {}, {}
-        for k, c in self.counts.items():
-            c = less(c)
-            n = c.sum(2)
-            self.own[k] = _stretch((c[..., 1] + 0.4) / (n + 0.8)).astype(np.float32).ravel()
-            if k in last:
-                self.own_gates[last[k]] = self._gate(n).ravel()
-
-    def learned(self) -> dict[str, np.ndarray]:
-        """Weights and refining tables by name, times how often each was taught."""
-        own = {"weights": self.weights, "refine": self.refine}
-        return {k: own[k.split("/")[0]][k.split("/")[1]] * (n[..., None] if k.startswith("weights") else n) for k, n in self.taught.items()}
-
-    def average(self, learned: dict[str, np.ndarray], taught: dict[str, np.ndarray]) -> None:
-        """The mean of what partitions have learned; what none was taught keeps its start."""
-        for k, n in taught.items():
-            own, kind = (self.weights, k.split("/")[1]) if k.startswith("weights") else (self.refine, k.split("/")[1])
-            n = n[..., None] if k.startswith("weights") else n
-            own[kind] = np.where(n > 0, learned[k] / np.maximum(n, 1), own[kind]).astype(np.float32)
-
-    @staticmethod
-    def _gate(n: np.ndarray) -> np.ndarray:
-        return np.minimum(_GATES - 1, np.ceil(np.log2(n + 1.0)).astype(np.int64)).astype(np.int8)
-
-    def predict(self, kind: str, slots: list[np.ndarray], node: np.ndarray, seen: np.ndarray | None = None) -> tuple:
-        """Inputs, gate, mixed logit and refined chance of a 1. seen: the bits, taken out of the counts that hold them."""
-        if self.ready is not None:
-            inputs = np.stack([self.ready[f"{kind}/{k}"][s] for k, s in enumerate(slots)], 1)
-            gate = self.gates[kind][slots[-1]].astype(np.int64)
-        else:
-            inputs = np.stack([self.own[f"{kind}/{k}"][s * 2 + seen] for k, s in enumerate(slots)], 1)
-            gate = self.own_gates[kind][slots[-1] * 2 + seen].astype(np.int64)
-        logit = np.clip((inputs * self.weights[kind][node, gate]).sum(1), -7.99, 7.99)
-        place = (logit + 8) * ((_BINS - 1) / 16)
+        return self
+
+    def predict(self, kind: str, slots: list[np.ndarray], sets: np.ndarray):
+        """Inputs, cell of weights, mixed logit, and place in the refining table."""
+        inputs = [self.ready[f"{kind}/{k}"][s] for k, s in enumerate(slots)]
+        cell = sets * _GATES + (self.gates[kind][slots[-1]] + self.sure[kind][slots[0]])
+        weights = self.weights[kind]
+        logit = inputs[0] * weights[0][cell]
+        for k in range(1, len(inputs)):
+            logit += inputs[k] * weights[k][cell]
+        np.clip(logit, -7.99, 7.99, out=logit)
+        return inputs, cell, logit, (logit + 8) * ((_BINS - 1) / 16)
+
+    def learn(self, kind: str, bit: np.ndarray, slots: list[np.ndarray], sets: np.ndarray, rate: float = 0.02) -> None:
+        """Online: each step is predicted with what the earlier ones taught, then teaches."""
+        for a in range(0, len(bit), _STEP):
+            b, s = bit[a : a + _STEP], sets[a : a + _STEP]
+            inputs, cell, logit, place = self.predict(kind, [x[a : a + _STEP] * 2 + b for x in slots], s)
+            error = b - _squash(logit)
+            w, taught = self.weights[kind], self.taught[f"weights/{kind}"]
+            times = np.bincount(cell, minlength=w.shape[1])
+            speed = rate / np.sqrt(np.maximum(1, times))
+            for k, x in enumerate(inputs):
+                w[k] += speed * np.bincount(cell, x * error, w.shape[1])
+            taught += times
+            near = s * _BINS + (place + 0.5).astype(np.int64)
+            table = self.refine[kind]
+            hits, ones = np.bincount(near, minlength=len(table)), np.bincount(near, b, minlength=len(table))
+            self.taught[f"refine/{kind}"] += hits
+            some = np.flatnonzero(hits)
+            table[some] += hits[some] / (hits[some] + 50.0) * (ones[some] / hits[some] - table[some])
+
+    def log10(self, kind: str, bit: np.ndarray, slots: list[np.ndarray], sets: np.ndarray) -> np.ndarray:
+        _, _, logit, place = self.predict(kind, slots, sets)
         low = place.astype(np.int64)
         part = place - low
-        table = self.refine[kind]
-        fine = table[node, low] * (1 - part) + table[node, low + 1] * part
-        return inputs, gate, logit, (np.clip(0.5 * _squash(logit) + 0.5 * fine, 1e-6, 1 - 1e-6)), low, part
-
-    def learn(self, decisions: Iterator[tuple], rate: float = 0.02, step: int = 2048) -> None:
-        """Online: each batch is predicted with what the earlier ones taught, then teaches."""
-        for kind, bit, slots, node, _ in decisions:
-            for a in range(0, len(bit), step):
-                b, n = bit[a : a + step], node[a : a + step]
-                inputs, gate, logit, _, low, part = self.predict(kind, [s[a : a + step] for s in slots], n, b)
-                error = b - _squash(logit)
-                flat = n * _GATES + gate
-                w = self.weights[kind].reshape(-1, inputs.shape[1])
-                times = np.bincount(flat, minlength=len(w))
-                total = np.stack([np.bincount(flat, inputs[:, k] * error, len(w)) for k in range(inputs.shape[1])], 1)
-                w += (rate * total / np.sqrt(np.maximum(1, times))[:, None]).astype(np.float32)
-                self.taught[f"weights/{kind}"].reshape(-1)[:] += times
-                table = self.refine[kind].reshape(-1)
-                near = n * _BINS + low + (part > 0.5)
-                hits, ones = np.bincount(near, minlength=len(table)), np.bincount(near, b, minlength=len(table))
-                self.taught[f"refine/{kind}"].reshape(-1)[:] += hits
-                speed = hits / (hits + 50.0)
-                table += (speed * (np.divide(ones, hits, out=np.zeros(len(table)), where=hits > 0) - table)).astype(np.float32)
-
-    def log10(self, decisions: Iterator[tuple], n: int) -> np.ndarray:
-        """log10 of the chance of each of n tokens' or bytes' decisions together."""
-        out = np.zeros(n)
-        for kind, bit, slots, node, at in decisions:
-            for a in range(0, len(bit), 1 << 16):
-                b = bit[a : a + (1 << 16)]
-                p = self.predict(kind, [s[a : a + (1 << 16)] for s in slots], node[a : a + (1 << 16)])[3]
-                out[at[a : a + (1 << 16)]] += np.log10(np.where(b == 1, p, 1 - p))
-        return out
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
-    for k, batch in enumerate(loads(batches)):
-        ids, train, group = (batch.column(j) for j in range(3))
-        data, offsets = S.text_column(batch.column(3))
-        row = pack(ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), train.to_numpy(zero_copy_only=False), group.to_numpy(), offsets, _LOWER[data])
-        yield pa.record_batch([pa.array([part << 32 | k], pa.int64()), pa.array([row], pa.binary())], names=["block", "payload"])
+        table, at = self.refine[kind], sets * _BINS + low
+        p = 0.5 * _squash(logit) + 0.5 * (table[at] * (1 - part) + table[at + 1] * part)
+        return np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-6, None))
+
+    def learned(self) -> dict[str, np.ndarray]:
+        """Weights and refining tables times how often each was taught, in whole numbers, and those times."""
+        out = {}
+        for kind in TABLES:
+            n = self.taught[f"weights/{kind}"]
+            out |= {f"weights/{kind}/{k}": np.rint(w * n * _UNIT).astype(np.int64) for k, w in enumerate(self.weights[kind])}
+            out[f"refine/{kind}"] = np.rint(self.refine[kind] * self.taught[f"refine/{kind}"] * _UNIT).astype(np.int64)
+        return out | {f"taught/{k}": n for k, n in self.taught.items()}
+
+    def average(self, sums: dict[str, np.ndarray]) -> None:
+        """The mean of what lots have learned; what none was taught keeps its start."""
+        for kind in TABLES:
+            n = sums[f"taught/weights/{kind}"]
+            for k, w in enumerate(self.weights[kind]):
+                w[n > 0] = sums[f"weights/{kind}/{k}"][n > 0] / _UNIT / n[n > 0]
+            n = sums[f"taught/refine/{kind}"]
+            self.refine[kind][n > 0] = sums[f"refine/{kind}"][n > 0] / _UNIT / n[n > 0]
+
+
+def _block(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    ids, train, kind = (table.column(c).combine_chunks() for c in ("doc_id", "train", "kind"))
+    text = table.column("text").combine_chunks()
+    data, offsets = S.text_column(text if isinstance(text, pa.Array) else pa.concat_arrays(text.chunks))
+    row = pack(ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), train.to_numpy(zero_copy_only=False), kind.to_numpy(), offsets, _LOWER[data])
+    return pa.table([pa.array([table.column("lot")[0].as_py()], pa.int64()), pa.array([row], pa.binary())], names=["block", "payload"])
 
 
 def _words(data: np.ndarray, offsets: np.ndarray):
-    """Distinct hashes of all tokens (the end's too), each token's place among them, token offsets, and word bounds."""
+    """Distinct hashes of all tokens (the end's too) in the order of identity(), each token's place among them, token offsets, and word bounds."""
     starts, ends, bounds = S.word_bounds(data, offsets)
     parts = [S.span_hashes(data[offsets[a] : offsets[b]], starts[bounds[a] : bounds[b]] - offsets[a], ends[bounds[a] : bounds[b]] - offsets[a]) for a, b in S.chunks(offsets)]
     hashes = np.concatenate([np.zeros(0, np.uint64), *parts])
@@ -212,10 +284,13 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     of = np.arange(len(hashes)) + np.repeat(np.arange(n), np.diff(bounds))
     tokens[of] = hashes
     names, index = np.unique(tokens, return_inverse=True)
-    return names, index, bounds + np.arange(n + 1), starts, ends, of
+    order = np.argsort(identity(names), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return names[order], place[index], bounds + np.arange(n + 1), starts, ends, of
 
 
-def _ask(n_buckets: int):
+def _ask(bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -224,9 +299,10 @@ def _ask(n_buckets: int):
                 size = np.diff(at)
                 learn = np.repeat(train, size)
                 counts = np.bincount(index[learn] * GROUPS + np.repeat(group, size)[learn], minlength=len(names) * GROUPS).reshape(-1, GROUPS).astype(np.uint32)
-                by, buckets, cut = dealt(names, n_buckets)
-                rows = [pack(names[by[cut[k] : cut[k + 1]]], counts[by[cut[k] : cut[k + 1]]].ravel()) for k in range(len(buckets))]
-                yield pa.record_batch([pa.array(buckets, pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "block", "payload"])
+                buckets, cut = np.unique(identity(names) >> np.uint32(32 - bits), return_index=True)
+                cut = np.r_[cut, len(names)]
+                rows = [pack(names[a:b], counts[a:b].ravel()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.record_batch([pa.array(buckets.astype(np.int32)), pa.array([block] * len(rows), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "block", "payload"])
 
     return ask
 
@@ -239,111 +315,126 @@ def _classes(count: np.ndarray, names: np.ndarray) -> np.ndarray:
     return np.where(names == _END_WORD[0], END, np.where(count > 0, known, UNKNOWN))
 
 
-def _reply(table: pa.Table) -> pa.Table:
-    blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
-    parts = [unpack(x.as_py()) for x in table.column("payload")]
-    size = [len(p[0]) for p in parts]
-    names, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    counts = np.zeros((len(names), GROUPS), np.int64)
-    np.add.at(counts, index, np.concatenate([p[1] for p in parts]).reshape(-1, GROUPS).astype(np.int64))
-    total = counts.sum(1)
-    group = np.where((total > 0) & (names != _END_WORD[0]), counts.argmax(1), 0).astype(np.uint8)
-    cls = _classes(total, names)
-    cell = group.astype(np.int64) * CLASSES + cls
-    some = total > 0
-    types, sums = np.bincount(cell[some], minlength=GROUPS * CLASSES), np.zeros(GROUPS * CLASSES, np.int64)
-    np.add.at(sums, cell[some], total[some])
-    cells = [{"cell": int(k), "types": int(types[k]), "total": int(sums[k])} for k in np.flatnonzero(types)]
-    rows = [pack(total[i], group[i]) for i in np.split(index, np.cumsum(size)[:-1])]
-    return pa.table(
-        [pa.array(blocks, pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(rows, pa.binary()), pa.array([cells] + [None] * (len(rows) - 1), pa.list_(pa.struct([("cell", pa.int32()), ("types", pa.int64()), ("total", pa.int64())])))],
-        names=["block", "bucket", "payload", "cells"],
-    )
-
-
-CODED = "doc_id long, train boolean, n_tokens long, n_known long, base double, within double, codes binary, learn binary, unknown binary, rare binary"
-
-
-def _code(n_buckets: int):
-    def code(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        replies = {b: unpack(p.as_py()) for b, p in zip(right.column("bucket").to_pylist(), right.column("payload"), strict=True)}
-        for payload in left.column("payload"):
-            valid, ids, train, _, offsets, data = unpack(payload.as_py())
-            names, index, at, starts, ends, of = _words(data, offsets)
-            by, buckets, _ = dealt(names, n_buckets)
-            count, group = np.zeros(len(names), np.int64), np.zeros(len(names), np.uint8)
-            if len(names):
-                count[by] = np.concatenate([replies[b][0] for b in buckets.tolist()])
-                group[by] = np.concatenate([replies[b][1] for b in buckets.tolist()])
-            cls = _classes(count, names).astype(np.uint8)
-            codes = np.stack([group[index], cls[index]], 1)
-            c = count[index]
-            sums = lambda x: np.diff(np.r_[0.0, np.cumsum(x)][at])
-            known, base = sums(c > 0), sums(np.log10(c + 0.5))
-            within = sums(np.where((cls[index] > UNKNOWN), np.log10(np.maximum(c, 1)), 0.0))
-            word_row = np.repeat(np.arange(len(ids)), np.diff(at) - 1)
-
-            def spelled(pick):
-                size = ends[pick] - starts[pick] + 1
-                text = np.full(int(size.sum()), 32, np.uint8)
-                end = np.cumsum(size)
-                text[S.ranges(end - size, size - 1)] = data[S.ranges(starts[pick], size - 1)]
-                cut = np.r_[0, end][np.searchsorted(word_row[pick], np.arange(len(ids) + 1))]
-                return [text[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-
-            unknown = spelled(np.flatnonzero(c[of] == 0))
-            rare = spelled(np.flatnonzero((c[of] == 1) & train[word_row]))
-            # what a training document teaches is how its tokens would be coded had it not been counted
-            less = np.where(names == _END_WORD[0], END, _classes(np.maximum(count - 1, 0), names)).astype(np.uint8)
-            teach = np.stack([np.where(less == UNKNOWN, 0, group).astype(np.uint8)[index], less[index]], 1)
-            cuts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-            flat, taught = codes.tobytes(), teach.tobytes()
-            own = [flat[2 * a : 2 * b] for a, b in cuts]
-            learn = [taught[2 * a : 2 * b] if t else b"" for (a, b), t in zip(cuts, train.tolist(), strict=True)]
-            out.append(
-                pa.table(
-                    [pa.array(ids, mask=~valid), pa.array(train), pa.array(np.diff(at), pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(within), pa.array(own, pa.binary()), pa.array(learn, pa.binary()), pa.array(unknown, pa.binary()), pa.array(rare, pa.binary())],
-                    names=[x.split()[0] for x in CODED.split(", ")],
-                )
-            )
-        return pa.concat_tables(out)
-
-    return code
-
-
-def _decisions(batch: pa.RecordBatch, code_column: str, byte_column: str):
-    names = batch.schema.names
-    codes, spans = [batch.column(names.index(c)) for c in (code_column, byte_column)]
-    at = np.r_[0, np.cumsum([len(x.as_buffer()) for x in codes])].astype(np.int64) // 2
-    flat = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(-1, 2)
-    cut = np.r_[0, np.cumsum([len(x.as_buffer()) for x in spans])].astype(np.int64)
-    return flat, at, np.frombuffer(b"".join(spans.to_pylist()), np.uint8), cut
-
-
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = {f"{kind}/{k}": np.zeros(2 << b, np.int64) for kind, bits in TABLES.items() for k, b in enumerate(bits)}
+def branches(cls: np.ndarray, ident: np.ndarray, count: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bits (bit j for the j-th) that tell a word from others of its class, the first `bits` in any case, and its share among those that none tells apart."""
+    order = np.lexsort((ident, cls))
+    c, x, n = cls[order].astype(np.int64), ident[order].astype(np.uint64), count[order].astype(np.float64)
+    mask = np.full(len(x), (1 << bits) - 1, np.uint32)
+    if not len(x):
+        return mask, n
+    for j in range(bits, 32):
+        node = (c.astype(np.uint64) << np.uint64(32)) | (x >> np.uint64(32 - j))
+        head = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        if len(head) == len(x):
+            break
+        bit = (x >> np.uint64(31 - j)) & np.uint64(1)
+        both = np.minimum.reduceat(bit, head) != np.maximum.reduceat(bit, head)
+        mask[np.repeat(both, np.diff(np.r_[head, len(x)]))] |= np.uint32(1 << j)
+    head = np.r_[True, (c[1:] != c[:-1]) | (x[1:] != x[:-1])]
+    whole = np.add.reduceat(n, np.flatnonzero(head))[np.cumsum(head) - 1]
+    out, share = np.empty_like(mask), np.empty(len(order))
+    out[order], share[order] = mask, n / np.maximum(whole, 1)
+    return out, share
+
+
+def _reply(bits: int):
+    def reply(table: pa.Table) -> pa.Table:
+        blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
+        parts = [unpack(x.as_py()) for x in table.column("payload")]
+        size = [len(p[0]) for p in parts]
+        names, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        counts = np.zeros((len(names), GROUPS), np.int64)
+        np.add.at(counts, index, np.concatenate([p[1] for p in parts]).reshape(-1, GROUPS).astype(np.int64))
+        total = counts.sum(1)
+        group = np.where((total > 0) & (names != _END_WORD[0]), counts.argmax(1), 0).astype(np.uint8)
+        cls = _classes(total, names)
+        mask, share = np.zeros(len(names), np.uint32), np.ones(len(names))
+        known = np.flatnonzero(cls > UNKNOWN)
+        mask[known], share[known] = branches(cls[known], identity(names[known]), total[known], bits)
+        some = total > 0
+        types, sums = np.bincount(cls[some], minlength=CLASSES), np.zeros(CLASSES, np.int64)
+        np.add.at(sums, cls[some], total[some])
+        cells = [{"cell": int(k), "types": int(types[k]), "total": int(sums[k])} for k in np.flatnonzero(types)]
+        cuts = np.r_[0, np.cumsum(size)]
+        rows = [pack(total[i], group[i], mask[i], share[i].astype(np.float32)) for i in (index[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))]
+        return pa.table(
+            [pa.array(blocks, pa.int64()), pa.array([bucket] * len(rows), pa.int32()), pa.array(rows, pa.binary()), pa.array([cells] + [None] * (len(rows) - 1), pa.list_(pa.struct([("cell", pa.int32()), ("types", pa.int64()), ("total", pa.int64())])))],
+            names=["block", "bucket", "payload", "cells"],
+        )
+
+    return reply
+
+
+class Block:
+    """The documents of a lot: tokens with what is known of their words, and the spelling of those that are not known."""
+
+    def __init__(self, payload: bytes, code: Code):
+        valid, ids, train, at, index, names, count, group, mask, share, unknown, cut, rare = unpack(payload)
+        self.code, self.valid, self.ids, self.train, self.at, self.cut = code, valid, ids, train, at, cut
+        self.unknown, self.rare = unknown, rare
+        index = index.astype(np.int64)
+        self.words, self.group, self.mask, self.share, self.count = names[index], group[index], mask[index], share[index], count[index]
+        self.ident, self.cls = identity(names)[index], _classes(count, names)[index]
+        # what a training document teaches is how its tokens would be coded had it not been counted
+        self.less = np.where(names == _END_WORD[0], END, _classes(np.maximum(count - 1, 0), names))[index]
+
+
+def _code(table: pa.Table, right: pa.Table) -> pa.Table:
+    replies = [unpack(p.as_py()) for _, p in sorted(zip(right.column("bucket").to_pylist(), right.column("payload"), strict=True), key=lambda x: x[0])]
+    valid, ids, train, _, offsets, data = unpack(table.column("payload")[0].as_py())
+    names, index, at, starts, ends, of = _words(data, offsets)
+    count, group, mask, share = (np.concatenate([r[k] for r in replies]) for k in range(4))
+    c = count[index]
+    row = np.repeat(np.arange(len(ids)), np.diff(at) - 1)
+
+    def spelled(pick):
+        size = ends[pick] - starts[pick] + 1
+        text = np.full(int(size.sum()), 32, np.uint8)
+        end = np.cumsum(size)
+        text[S.ranges(end - size, size - 1)] = data[S.ranges(starts[pick], size - 1)]
+        return text, np.r_[0, end][np.searchsorted(row[pick], np.arange(len(ids) + 1))]
+
+    unknown, cut = spelled(np.flatnonzero(c[of] == 0))
+    rare, _ = spelled(np.flatnonzero((c[of] == 1) & train[row]))
+    payload = pack(valid, ids, train, at, index.astype(np.uint32), names, count, group, mask, share, unknown, cut.astype(np.int64), rare)
+    return pa.table([table.column("block").slice(0, 1), pa.array([payload], pa.binary())], names=["block", "payload"])
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[Block]:
     for batch in batches:
-        codes, at, data, _ = _decisions(batch, "learn", "rare")
-        for steps in (code_bits(codes, at), byte_bits(data)):
-            for kind, bit, slots, _, _ in steps:
+        for payload in batch.column(0):
+            yield Block(payload.as_py(), code)
+
+
+def _named(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(list(arrays)), pa.array([pack(x) for x in arrays.values()], pa.binary())], names=["name", "counts"])
+
+
+def _tally(code: Code):
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {f"{kind}/{k}": np.zeros(2 << b, np.int64) for kind, bits in TABLES.items() for k, b in enumerate(bits)}
+        for block in _blocks_of(batches, code):
+            for kind, (bit, slots, _, _) in decisions(block, TALLY):
                 for k, s in enumerate(slots):
-                    name = f"{kind}/{k}"
-                    np.add.at(tables[name], s * 2 + bit, 1)
-    yield pa.record_batch([pa.array(list(tables)), pa.array([pack(x) for x in tables.values()], pa.binary())], names=["name", "counts"])
+                    np.add.at(tables[f"{kind}/{k}"], s * 2 + bit, 1)
+        yield _named(tables)
 
+    return tally
 
-def _learn(model):
+
+def _learn(model, code: Code):
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(model.value)
-        mixer.without_own()
-        for batch in batches:
-            for a in range(0, batch.num_rows, 100):
-                codes, at, data, _ = _decisions(batch.slice(a, 100), "learn", "rare")
-                mixer.learn(code_bits(codes, at))
-                mixer.learn(byte_bits(data))
-        both = mixer.learned() | {f"taught/{k}": n for k, n in mixer.taught.items()}
-        yield pa.record_batch([pa.array(list(both)), pa.array([pack(x.ravel()) for x in both.values()], pa.binary())], names=["name", "counts"])
+        start = Mixer(model.value).freeze(without_own=True)
+        sums: dict[str, np.ndarray] = {}
+        for block in _blocks_of(batches, code):
+            mixer = Mixer({})
+            mixer.ready, mixer.gates, mixer.sure = start.ready, start.gates, start.sure
+            for kind, (bit, slots, sets, _) in decisions(block, LEARN):
+                mixer.learn(kind, bit, slots, sets)
+            for name, x in mixer.learned().items():
+                sums[name] = sums[name] + x if name in sums else x
+        if sums:
+            yield _named(sums)
 
     return learn
 
@@ -353,19 +444,33 @@ def _sum_tables(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table.column("name")[0].as_py()]), pa.array([pack(total)], pa.binary())], names=["name", "counts"])
 
 
-def _score(model):
+def token_scores(mixer: Mixer, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """log10 chances of a block's tokens, and of the bytes of its unknown words."""
+    out = {"word": np.log10(block.share.astype(np.float64)), "byte": np.zeros(len(block.unknown))}
+    for kind, (bit, slots, sets, at) in decisions(block):
+        out[kind][at] += mixer.log10(kind, bit, slots, sets)
+    return out["word"], out["byte"]
+
+
+def _each(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of x between neighbouring places; each depends on its own values alone."""
+    out = np.zeros(len(at) - 1)
+    some = np.flatnonzero(np.diff(at) > 0)
+    if len(some):
+        out[some] = np.add.reduceat(x, at[some])
+    return out
+
+
+def _score(model, code: Code, floor: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, share, floor = model.value
-        for batch in batches:
-            names = batch.schema.names
-            codes, at, data, cut = _decisions(batch, "codes", "unknown")
-            tokens = mixer.log10(code_bits(codes, at), len(codes)) - share[codes[:, 0].astype(np.int64) * CLASSES + codes[:, 1]]
-            letters = mixer.log10(byte_bits(data), len(data))
-            each = lambda x, o: np.diff(np.r_[0.0, np.cumsum(x)][o])
-            n, base, within = (batch.column(names.index(c)).to_numpy() for c in ("n_tokens", "base", "within"))
-            total = each(tokens, at) + each(letters, cut) + within
-            keep = [batch.column(names.index(c)) for c in ("doc_id", "n_tokens", "n_known")]
-            yield pa.record_batch([*keep, pa.array(base - n * floor), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        mixer = model.value
+        for block in _blocks_of(batches, code):
+            tokens, letters = token_scores(mixer, block)
+            n = np.diff(block.at)
+            known = _each((block.count > 0).astype(np.float64), block.at).astype(np.int64)
+            base = _each(np.log10(block.count + 0.5), block.at) - n * floor
+            total = _each(tokens, block.at) + _each(letters, block.cut)
+            yield pa.record_batch([pa.array(block.ids, mask=~block.valid), pa.array(n), pa.array(known), pa.array(base), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return score
 
@@ -374,15 +479,17 @@ def lm_scores(docs: DataFrame, group: str | None = "lang") -> DataFrame:
     """Scores of whole texts under a model of the documents whose crc32(doc_id as text) mod 5 is not 1.
 
     docs has doc_id and text; values of the column `group`, if given, name the
-    groups of training documents (the seven commonest, the rest together); it
-    is not used where a text is scored. Returns doc_id, held_out, n_tokens,
-    n_known, train_tokens, base_score and score. A null or empty text is the end
-    token alone. A null doc_id is scored and not learned from. Rows that share a
-    doc_id are learned from and scored each. An empty table gives no rows.
+    groups of training documents (the seven commonest, the rest and nulls
+    together); it is not used where a text is scored. Returns doc_id, held_out,
+    n_tokens, n_known, train_tokens, base_score and score. A null or empty text
+    is the end token alone. A null doc_id is scored and not learned from. Rows
+    that share a doc_id are learned from and scored each. An empty table gives
+    no rows. Scores depend on the rows alone, not on their order or partitions.
     """
     spark = docs.sparkSession
     S.prepare(spark)
-    n = S.buckets(spark, 2)
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    lots, bits = max(1, -(-size // LOT)), max(4, int(np.ceil(np.log2(max(1, size / SHARE)))))
     rest = F.crc32(F.col("doc_id").cast("string")) % 5
     train = F.coalesce(rest != 1, F.lit(False))
     kind = F.lit(0)
@@ -390,33 +497,30 @@ def lm_scores(docs: DataFrame, group: str | None = "lang") -> DataFrame:
         top = [r[0] for r in docs.where(train & F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(GROUPS - 1).collect()]
         for k, value in enumerate(top, 1):
             kind = F.when(F.col(group) == value, k).otherwise(kind)
-    rows = docs.select(F.col("doc_id").cast("long"), train.alias("train"), kind.alias("kind"), "text")
-    blocks = S.staged(rows.mapInArrow(_blocks, "block long, payload binary"), "lm-blocks")
-    asked = blocks.mapInArrow(_ask(n), "bucket int, block long, payload binary")
-    replies = S.staged(asked.groupBy("bucket").applyInArrow(_reply, REPLY), "lm-replies")
-    cells = replies.select(F.explode("cells").alias("c")).groupBy("c.cell").agg(F.sum("c.types").alias("types"), F.sum("c.total").alias("total")).collect()  # 256 rows at most
+    rows = docs.select(F.col("doc_id").cast("long"), train.alias("train"), kind.alias("kind"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(lots)).alias("lot"))
+    blocks = S.staged(rows.groupBy("lot").applyInArrow(_block, "block long, payload binary"), "lm-blocks")
+    asked = blocks.mapInArrow(_ask(bits), "bucket int, block long, payload binary")
+    replies = S.staged(asked.groupBy("bucket").applyInArrow(_reply(bits), REPLY), "lm-replies")
+    cells = replies.select(F.explode("cells").alias("c")).groupBy("c.cell").agg(F.sum("c.types").alias("types"), F.sum("c.total").alias("total")).collect()  # a row for each class at most
     train_tokens, types = sum(r["total"] for r in cells), sum(r["types"] for r in cells)
-    coded = blocks.groupBy("block").cogroup(replies.select("block", "bucket", "payload").groupBy("block")).applyInArrow(_code(n), CODED)
-    coded = S.staged(coded, "lm-coded")
-    tallied = coded.where("train").select("learn", "rare").mapInArrow(_tally, "name string, counts binary")
-    tables = {r["name"]: unpack(r["counts"])[0].reshape(-1, 2) for r in tallied.groupBy("name").applyInArrow(_sum_tables, "name string, counts binary").toLocalIterator()}  # of a fixed size
-    for name, bits in ((f"{k}/{j}", b) for k, bs in TABLES.items() for j, b in enumerate(bs)):
-        tables.setdefault(name, np.zeros((1 << bits, 2), np.int64))
-    mixer = Mixer(tables)
+    # a word that is counted once is unknown to all documents but its own
+    once = next((r["types"] for r in cells if r["cell"] == UNKNOWN + 1), 0)
+    code = Code({END: 1, UNKNOWN: 1 + once} | {r["cell"]: r["total"] for r in cells})
+    coded = blocks.groupBy("block").cogroup(replies.select("block", "bucket", "payload").groupBy("block")).applyInArrow(_code, "block long, payload binary")
+    coded = S.staged(coded, "lm-coded").select("payload")
+    form = "name string, counts binary"
+    collected = lambda df: {r["name"]: unpack(r["counts"])[0] for r in df.groupBy("name").applyInArrow(_sum_tables, form).toLocalIterator()}  # noqa: E731 - of a fixed size
+    tables = collected(coded.mapInArrow(_tally(code), form))
+    for name, b in ((f"{k}/{j}", b) for k, bs in TABLES.items() for j, b in enumerate(bs)):
+        tables[name] = np.minimum(tables.get(name, np.zeros(2 << b, np.int64)), 2**32 - 1).astype(np.uint32)
     counts = spark.sparkContext.broadcast(tables)
-    taught = coded.where("train").select("learn", "rare").mapInArrow(_learn(counts), "name string, counts binary")
-    sums = {r["name"]: unpack(r["counts"])[0] for r in taught.groupBy("name").applyInArrow(_sum_tables, "name string, counts binary").toLocalIterator()}  # of a fixed size
+    mixer = Mixer(tables)
+    sums = collected(coded.mapInArrow(_learn(counts, code), form))
     if sums:
-        shaped = {k: sums[k].reshape(mixer.learned()[k].shape) for k in mixer.taught}
-        mixer.average(shaped, {k: sums[f"taught/{k}"].reshape(n.shape) for k, n in mixer.taught.items()})
-    mixer.freeze()
-    share = np.zeros(GROUPS * CLASSES)  # the end is certain in its class, an unknown word is spelled
-    for r in cells:
-        if r["cell"] % CLASSES > UNKNOWN:
-            share[r["cell"]] = np.log10(r["total"])
+        mixer.average(sums)
     floor = float(np.log10(train_tokens + 0.5 * (types + 1)))
-    model = spark.sparkContext.broadcast((mixer, share, floor))
-    out = coded.select("doc_id", "n_tokens", "n_known", "base", "within", "codes", "unknown").mapInArrow(_score(model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    model = spark.sparkContext.broadcast(mixer.freeze())
+    out = coded.mapInArrow(_score(model, code, floor), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(int(train_tokens)).cast("long").alias("train_tokens"), "base_score", "score")
 
