@@ -40,8 +40,9 @@ SETS = {"word": 64 + 32, "byte": 256}
 _SEEN = 8
 _GATES = 2 * _SEEN  # by how often the last predictor has seen its context, and whether the first has seen one bit only
 _BINS = 33
-_CHUNK, _STEP = 1 << 15, 1 << 13
+_CHUNK, _STEP = 1 << 15, 1 << 14
 TALLY, LEARN = 1, 2
+_HELD = 1 << 20  # decisions that are counted together
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Learned values travel as whole numbers of this size, so that their sums are the same in any order.
 _UNIT = float(1 << 24)
@@ -104,7 +105,7 @@ def contexts(words: np.ndarray, group: np.ndarray, at: np.ndarray) -> list[np.nd
 
 def _slots(kind: str, node: np.ndarray, hashes: list[np.ndarray]) -> list[np.ndarray]:
     key = (node + np.uint64(1)) * _M1
-    return [(((h ^ key) * _M2) >> np.uint64(64 - bits)).astype(np.int32) for bits, h in zip(TABLES[kind], hashes, strict=True)]
+    return [(((h ^ key) * _M2) >> np.uint64(64 - bits)).view(np.int64) for bits, h in zip(TABLES[kind], hashes, strict=True)]
 
 
 def word_bits(code: Code, cls: np.ndarray, own: np.ndarray, ident: np.ndarray, mask: np.ndarray, hashes: list[np.ndarray], a: int, b: int) -> Iterator[tuple]:
@@ -174,22 +175,27 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.take(table, at, mode="clip")
+
+
 class Mixer:
     """Count tables by kind and predictor, mixing weights by kind, predictor, set and gate, and the refining tables."""
 
     def __init__(self, counts: dict[str, np.ndarray]):
         """counts: by "kind/predictor", zeros and ones seen, two for each slot."""
-        self.weights = {k: np.full((len(TABLES[k]), n * _GATES), 0.3, np.float64) for k, n in SETS.items()}
+        self.weights = {k: np.full((len(TABLES[k]), n * _GATES), 0.3, np.float32) for k, n in SETS.items()}
         edges = _squash(np.linspace(-8, 8, _BINS))
-        self.refine = {k: np.tile(edges, n) for k, n in SETS.items()}
+        self.refine = {k: np.tile(edges, n).astype(np.float32) for k, n in SETS.items()}
         self.taught = {f"weights/{k}": np.zeros(n * _GATES, np.int64) for k, n in SETS.items()} | {f"refine/{k}": np.zeros(n * _BINS, np.int64) for k, n in SETS.items()}
         self.counts = counts
         self.ready: dict[str, np.ndarray] = {}
-        self.gates: dict[str, np.ndarray] = {}
-        self.sure: dict[str, np.ndarray] = {}
 
     def freeze(self, without_own: bool = False) -> Mixer:
-        """Stretched predictions in place of counts; without_own: for each slot and bit, without the one that the counts hold of it."""
+        """Stretched predictions in place of counts; without_own: for each slot and bit, without the one that the counts hold of it.
+
+        They are whole numbers of 1/65536, with what the gate takes from a slot in the four lowest bits.
+        """
         for name, c in self.counts.items():
             kind, k = name.split("/")
             c = c.reshape(-1, 2).astype(np.float64)
@@ -200,59 +206,66 @@ class Mixer:
                 c = c.reshape(-1, 2)
             n = c.sum(1)
             p = (c[:, 1] + 0.4) / (n + 0.8)
-            self.ready[name] = np.log(p / (1 - p)).astype(np.float32)
+            gate = np.zeros(len(n), np.int32)
             if int(k) == len(TABLES[kind]) - 1:
-                self.gates[kind] = np.minimum(_SEEN - 1, np.ceil(np.log2(n + 1))).astype(np.int8)
+                gate = np.minimum(_SEEN - 1, np.ceil(np.log2(n + 1))).astype(np.int32)
             if int(k) == 0:
-                self.sure[kind] = ((n > 0) & (c.min(1) == 0)).astype(np.int8) * np.int8(_SEEN)
+                gate = ((n > 0) & (c.min(1) == 0)).astype(np.int32) * _SEEN
+            self.ready[name] = (np.rint(np.log(p / (1 - p)) * 65536).astype(np.int32) << 4) | gate
         self.counts = {}
         return self
 
     def predict(self, kind: str, slots: list[np.ndarray], sets: np.ndarray):
         """Inputs, cell of weights, mixed logit, and place in the refining table."""
-        inputs = [self.ready[f"{kind}/{k}"][s] for k, s in enumerate(slots)]
-        cell = sets * _GATES + (self.gates[kind][slots[-1]] + self.sure[kind][slots[0]])
+        packed = [_take(self.ready[f"{kind}/{k}"], s) for k, s in enumerate(slots)]
+        cell = sets * _GATES + ((packed[0] & 15) + (packed[-1] & 15))
+        inputs = [(x >> 4).astype(np.float32) * np.float32(1 / 65536) for x in packed]
         weights = self.weights[kind]
-        logit = inputs[0] * weights[0][cell]
+        logit = inputs[0] * _take(weights[0], cell)
         for k in range(1, len(inputs)):
-            logit += inputs[k] * weights[k][cell]
+            logit += inputs[k] * _take(weights[k], cell)
         np.clip(logit, -7.99, 7.99, out=logit)
-        return inputs, cell, logit, (logit + 8) * ((_BINS - 1) / 16)
+        return inputs, cell, logit, (logit + np.float32(8)) * np.float32((_BINS - 1) / 16)
 
     def learn(self, kind: str, bit: np.ndarray, slots: list[np.ndarray], sets: np.ndarray, rate: float = 0.02) -> None:
         """Online: each step is predicted with what the earlier ones taught, then teaches."""
         for a in range(0, len(bit), _STEP):
             b, s = bit[a : a + _STEP], sets[a : a + _STEP]
             inputs, cell, logit, place = self.predict(kind, [x[a : a + _STEP] * 2 + b for x in slots], s)
-            error = b - _squash(logit)
+            error = b.astype(np.float32) - _squash(logit)
             w, taught = self.weights[kind], self.taught[f"weights/{kind}"]
             times = np.bincount(cell, minlength=w.shape[1])
             speed = rate / np.sqrt(np.maximum(1, times))
             for k, x in enumerate(inputs):
-                w[k] += speed * np.bincount(cell, x * error, w.shape[1])
+                x *= error
+                w[k] += (speed * np.bincount(cell, x, w.shape[1])).astype(np.float32)
             taught += times
-            near = s * _BINS + (place + 0.5).astype(np.int64)
+            near = s * _BINS + (place + np.float32(0.5)).astype(np.int64)
             table = self.refine[kind]
-            hits, ones = np.bincount(near, minlength=len(table)), np.bincount(near, b, minlength=len(table))
+            both = np.bincount(near * 2 + b, minlength=2 * len(table)).reshape(-1, 2)
+            hits, ones = both.sum(1), both[:, 1]
             self.taught[f"refine/{kind}"] += hits
             some = np.flatnonzero(hits)
-            table[some] += hits[some] / (hits[some] + 50.0) * (ones[some] / hits[some] - table[some])
+            table[some] += (hits[some] / (hits[some] + 50.0) * (ones[some] / hits[some] - table[some])).astype(np.float32)
 
-    def log10(self, kind: str, bit: np.ndarray, slots: list[np.ndarray], sets: np.ndarray) -> np.ndarray:
+    def chances(self, kind: str, bit: np.ndarray, slots: list[np.ndarray], sets: np.ndarray) -> np.ndarray:
+        """The chance of each bit."""
         _, _, logit, place = self.predict(kind, slots, sets)
         low = place.astype(np.int64)
         part = place - low
-        table, at = self.refine[kind], sets * _BINS + low
-        p = 0.5 * _squash(logit) + 0.5 * (table[at] * (1 - part) + table[at + 1] * part)
-        return np.log10(np.clip(np.where(bit == 1, p, 1 - p), 1e-6, None))
+        at = sets * _BINS + low
+        table = self.refine[kind]
+        under = _take(table, at)
+        p = np.float32(0.5) * (_squash(logit) + under + part * (_take(table, at + 1) - under))
+        return np.maximum(np.abs(p - (1 - bit).astype(np.float32)), np.float32(1e-6))
 
     def learned(self) -> dict[str, np.ndarray]:
         """Weights and refining tables times how often each was taught, in whole numbers, and those times."""
         out = {}
         for kind in TABLES:
             n = self.taught[f"weights/{kind}"]
-            out |= {f"weights/{kind}/{k}": np.rint(w * n * _UNIT).astype(np.int64) for k, w in enumerate(self.weights[kind])}
-            out[f"refine/{kind}"] = np.rint(self.refine[kind] * self.taught[f"refine/{kind}"] * _UNIT).astype(np.int64)
+            out |= {f"weights/{kind}/{k}": np.rint(w.astype(np.float64) * n * _UNIT).astype(np.int64) for k, w in enumerate(self.weights[kind])}
+            out[f"refine/{kind}"] = np.rint(self.refine[kind].astype(np.float64) * self.taught[f"refine/{kind}"] * _UNIT).astype(np.int64)
         return out | {f"taught/{k}": n for k, n in self.taught.items()}
 
     def average(self, sums: dict[str, np.ndarray]) -> None:
@@ -413,10 +426,26 @@ def _named(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
 def _tally(code: Code):
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {f"{kind}/{k}": np.zeros(2 << b, np.int64) for kind, bits in TABLES.items() for k, b in enumerate(bits)}
+        held: dict[str, list[np.ndarray]] = {k: [] for k in tables}
+        size = dict.fromkeys(TABLES, 0)
+
+        def flush(kind):
+            size[kind] = 0
+            for k in range(len(TABLES[kind])):
+                name = f"{kind}/{k}"
+                if held[name]:
+                    tables[name] += np.bincount(np.concatenate(held[name]), minlength=len(tables[name]))
+                    held[name] = []
+
         for block in _blocks_of(batches, code):
             for kind, (bit, slots, _, _) in decisions(block, TALLY):
                 for k, s in enumerate(slots):
-                    np.add.at(tables[f"{kind}/{k}"], s * 2 + bit, 1)
+                    held[f"{kind}/{k}"].append(s * 2 + bit)
+                size[kind] += len(bit)
+                if size[kind] > _HELD:
+                    flush(kind)
+        for kind in TABLES:
+            flush(kind)
         yield _named(tables)
 
     return tally
@@ -428,7 +457,7 @@ def _learn(model, code: Code):
         sums: dict[str, np.ndarray] = {}
         for block in _blocks_of(batches, code):
             mixer = Mixer({})
-            mixer.ready, mixer.gates, mixer.sure = start.ready, start.gates, start.sure
+            mixer.ready = start.ready
             for kind, (bit, slots, sets, _) in decisions(block, LEARN):
                 mixer.learn(kind, bit, slots, sets)
             for name, x in mixer.learned().items():
@@ -446,10 +475,10 @@ def _sum_tables(table: pa.Table) -> pa.Table:
 
 def token_scores(mixer: Mixer, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """log10 chances of a block's tokens, and of the bytes of its unknown words."""
-    out = {"word": np.log10(block.share.astype(np.float64)), "byte": np.zeros(len(block.unknown))}
+    out = {"word": np.log(block.share.astype(np.float64)), "byte": np.zeros(len(block.unknown))}
     for kind, (bit, slots, sets, at) in decisions(block):
-        out[kind][at] += mixer.log10(kind, bit, slots, sets)
-    return out["word"], out["byte"]
+        out[kind][at] += np.log(mixer.chances(kind, bit, slots, sets))
+    return out["word"] / np.log(10), out["byte"] / np.log(10)
 
 
 def _each(x: np.ndarray, at: np.ndarray) -> np.ndarray:
