@@ -51,7 +51,7 @@ STAGES = [
     ("decontamination", decontaminate),
     ("packing", packing),
 ]
-#: Sketches, suffix order and the plan of the packing have no SQL; tests hold each stage against brute force.
+#: Sketches, suffix order and the plan of the packing have no SQL; the operators of the stages are tested against brute force or SQL.
 ORACLE_SQL = None
 
 
