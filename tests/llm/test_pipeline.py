@@ -1,4 +1,5 @@
 import corpus_pipeline as C
+import pytest
 from wayfold.llm._shared import staged
 from wayfold.llm.near_dedup import near_duplicates
 from wayfold.llm.quality_rules import quality_rules
@@ -23,3 +24,36 @@ def test_stages(spark):
     got = C.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect()
     want = steps[4].select("doc_id", "piece", "length", "ids_crc32").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+@pytest.fixture
+def folder(spark, docs, tmp_path):
+    """Writes the three tables the pipeline reads, from the shared corpus or with no rows."""
+
+    def write(rows):
+        rows.drop("count").write.parquet(f"{tmp_path}/documents.parquet")
+        for name in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{name}.parquet").limit(0 if rows.isEmpty() else 10**6).write.parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+
+    return write
+
+
+def test_nulls_and_repeats(spark, docs, corpus, folder):
+    sf = folder(docs)
+    step = spark.read.parquet(f"{sf}/documents.parquet")
+    before = None
+    for name, stage in C.STAGES:
+        step = staged(stage(spark, step, sf), "test")
+        now = {r.doc_id for r in step.select("doc_id").collect()}
+        assert before is None or now <= before, name
+        before = now
+    whole = {d for d, t in corpus if t and len(t.split()) >= 50 and "same words again" not in t}
+    assert before and before <= whole  # nulls, empties and short texts go in the first stage
+    rows = step.collect()
+    assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)
+    assert all(r.length <= 2048 for r in rows)
+
+
+def test_empty_tables(spark, docs, folder):
+    assert C.run(spark, folder(docs.limit(0))).collect() == []
