@@ -432,8 +432,8 @@ def test_chances_of_all_tokens_add_up(spark, monkeypatch):
         fast = mixer.chances(kind, bit, slots, sets)
         for i in range(0, len(bit), 17):
             seen = [int(mixer.ready[f"{kind}/{k}"][s[i]]) for k, s in enumerate(slots)]
-            cell = int(sets[i]) * L._GATES + seen[0] % 16 + seen[-1] % 16
-            logit = sum((x // 16) / 65536 * float(mixer.weights[kind][k][cell]) for k, x in enumerate(seen))
+            cell = int(sets[i]) * L._GATES + seen[0] % 2 * 8 + seen[-1] % 8
+            logit = sum((x // 8) / 128 * float(mixer.weights[kind][k][cell]) for k, x in enumerate(seen))
             logit = min(7.99, max(-7.99, logit))
             place = (logit + 8) * 2
             table = mixer.refine[kind].reshape(-1, 33)[int(sets[i])].tolist()

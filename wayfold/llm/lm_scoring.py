@@ -37,12 +37,15 @@ LOT, SHARE = 6 << 20, 8 << 20
 TABLES = {"word": (20, 19, 20, 20), "byte": (8, 16, 19, 20, 20)}
 #: Sets of weights: for a word one for each node of the class code and each bit of a hash, for a byte one for each node.
 SETS = {"word": 64 + 32, "byte": 256}
-_SEEN = 8
+#: Stretched predictions are whole numbers of 1/_FINE, with _GATE_BITS bits below them for what the gate takes.
+_FINE, _GATE_BITS = 128, 3
+_SEEN = 1 << _GATE_BITS
 _GATES = 2 * _SEEN  # by how often the last predictor has seen its context, and whether the first has seen one bit only
 _BINS = 33
 _CHUNK, _STEP = 1 << 15, 1 << 14
 TALLY, LEARN = 1, 2
-_HELD = 1 << 20  # decisions that are counted together
+_HELD = 1 << 21  # decisions that are counted together
+_SLICE = 1 << 17  # counts of a table that travel in one row
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Learned values travel as whole numbers of this size, so that their sums are the same in any order.
 _UNIT = float(1 << 24)
@@ -71,13 +74,13 @@ def class_code(weights: dict[int, int]) -> list[list[tuple[int, int]]]:
 
 
 class Code:
-    """class_code() as arrays: the length for each class, and node and bit of each of its decisions."""
+    """class_code() as arrays: the length for each class, and by decision and class its node and bit."""
 
     def __init__(self, weights: dict[int, int]):
         paths = class_code(weights)
         self.size = np.array([len(p) for p in paths], np.int64)
         longest = max(1, int(self.size.max()))
-        self.node, self.bit = (np.array([[x[k] for x in p] + [0] * (longest - len(p)) for p in paths], np.int64) for k in (0, 1))
+        self.node, self.bit = (np.array([[p[j][k] if j < len(p) else 0 for p in paths] for j in range(longest)], np.int64) for k in (0, 1))
 
 
 def identity(names: np.ndarray) -> np.ndarray:
@@ -94,18 +97,20 @@ def _before(x: np.ndarray, first: np.ndarray, start) -> np.ndarray:
 
 
 def contexts(words: np.ndarray, group: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """A hash of each predictor's context, for each token; a document's first token has none before it."""
+    """A hash of the context of each predictor but the first, for each token; a document's first token has none before it."""
     first = at[:-1][np.diff(at) > 0]
     w1 = _before(words, first, 0)
     w2 = _before(w1, first, 0)
     g1 = _before(group.astype(np.uint64), first, GROUPS)
     g2 = _before(g1, first, GROUPS)
-    return [np.zeros(len(words), np.uint64), S.mix(g1 * np.uint64(GROUPS + 1) + g2 + np.uint64(1)), S.mix(w1 + np.uint64(2)), S.mix(w1 * _M1 + w2 + np.uint64(3))]
+    return [S.mix(g1 * np.uint64(GROUPS + 1) + g2 + np.uint64(1)), S.mix(w1 + np.uint64(2)), S.mix(w1 * _M1 + w2 + np.uint64(3))]
 
 
 def _slots(kind: str, node: np.ndarray, hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """The first predictor has no context; hashes are those of the others."""
     key = (node + np.uint64(1)) * _M1
-    return [(((h ^ key) * _M2) >> np.uint64(64 - bits)).view(np.int64) for bits, h in zip(TABLES[kind], hashes, strict=True)]
+    out = [((key if h is None else h ^ key) * _M2) >> np.uint64(64 - bits) for bits, h in zip(TABLES[kind], [None, *hashes], strict=True)]
+    return [x.view(np.int64) for x in out]
 
 
 def word_bits(code: Code, cls: np.ndarray, own: np.ndarray, ident: np.ndarray, mask: np.ndarray, hashes: list[np.ndarray], a: int, b: int) -> Iterator[tuple]:
@@ -114,17 +119,21 @@ def word_bits(code: Code, cls: np.ndarray, own: np.ndarray, ident: np.ndarray, m
     The class is cls; the word is told within its class own, if mask has bits.
     """
     c = cls[a:b].astype(np.int64)
-    for j in range(int(code.size[c].max(initial=0))):
-        at = np.flatnonzero(code.size[c] > j)
-        node = code.node[c[at], j]
-        yield code.bit[c[at], j], _slots("word", node.astype(np.uint64), [h[a:b][at] for h in hashes]), node, at + a
-    m = mask[a:b]
+    size = code.size[c]
+    near = [h[a:b] for h in hashes]
+    for j in range(int(size.max(initial=0))):
+        at = np.flatnonzero(size > j)
+        of = _take(c, at)
+        node = _take(code.node[j], of)
+        yield _take(code.bit[j], of), _slots("word", node.astype(np.uint64), [_take(h, at) for h in near]), node, at + a
+    m, x = mask[a:b], ident[a:b].astype(np.uint64)
+    top = (own[a:b].astype(np.uint64) + np.uint64(1)) << np.uint64(40)
     for j in range(32):
-        at = np.flatnonzero(m & np.uint32(1 << j))
+        at = np.flatnonzero((m & np.uint32(1 << j)) != 0)
         if len(at):
-            x = ident[a:b][at].astype(np.uint64)
-            node = ((own[a:b][at].astype(np.uint64) + np.uint64(1)) << np.uint64(40)) | (np.uint64(j) << np.uint64(33)) | (x >> np.uint64(32 - j))
-            yield ((x >> np.uint64(31 - j)) & np.uint64(1)).astype(np.int64), _slots("word", node, [h[a:b][at] for h in hashes]), np.full(len(at), 64 + j), at + a
+            y = _take(x, at)
+            node = _take(top, at) | np.uint64(j << 33) | (y >> np.uint64(32 - j))
+            yield ((y >> np.uint64(31 - j)) & np.uint64(1)).view(np.int64), _slots("word", node, [_take(h, at) for h in near]), np.full(len(at), 64 + j), at + a
 
 
 def byte_contexts(data: np.ndarray) -> list[np.ndarray]:
@@ -134,7 +143,7 @@ def byte_contexts(data: np.ndarray) -> list[np.ndarray]:
     c = [x]
     for _ in range(4):
         c.append(_before(c[-1], first, 32))
-    out, key = [np.zeros(len(x), np.uint64)], np.zeros(len(x), np.uint64)
+    out, key = [], np.zeros(len(x), np.uint64)
     for k in range(1, 5):
         key = key * np.uint64(256) + c[k]
         out.append(S.mix(key + np.uint64(k << 40)))
@@ -192,34 +201,28 @@ class Mixer:
         self.ready: dict[str, np.ndarray] = {}
 
     def freeze(self, without_own: bool = False) -> Mixer:
-        """Stretched predictions in place of counts; without_own: for each slot and bit, without the one that the counts hold of it.
-
-        They are whole numbers of 1/65536, with what the gate takes from a slot in the four lowest bits.
-        """
+        """Stretched predictions in place of counts; without_own: for each slot and bit, without the one that the counts hold of it."""
         for name, c in self.counts.items():
             kind, k = name.split("/")
-            c = c.reshape(-1, 2).astype(np.float64)
+            zeros, ones = (c.reshape(-1, 2)[:, b].astype(np.float32) for b in (0, 1))
             if without_own:
-                c = np.repeat(c[:, None, :], 2, 1)
-                for bit in (0, 1):
-                    c[:, bit, bit] = np.maximum(0, c[:, bit, bit] - 1)
-                c = c.reshape(-1, 2)
-            n = c.sum(1)
-            p = (c[:, 1] + 0.4) / (n + 0.8)
-            gate = np.zeros(len(n), np.int32)
+                zeros, ones = np.stack((zeros - (zeros > 0), zeros), 1).ravel(), np.stack((ones, ones - (ones > 0)), 1).ravel()
+            n = zeros + ones
+            gate = np.zeros(len(n), np.int16)
             if int(k) == len(TABLES[kind]) - 1:
-                gate = np.minimum(_SEEN - 1, np.ceil(np.log2(n + 1))).astype(np.int32)
+                gate = np.minimum(_SEEN - 1, np.ceil(np.log2(n + 1))).astype(np.int16)
             if int(k) == 0:
-                gate = ((n > 0) & (c.min(1) == 0)).astype(np.int32) * _SEEN
-            self.ready[name] = (np.rint(np.log(p / (1 - p)) * 65536).astype(np.int32) << 4) | gate
+                gate = ((n > 0) & (np.minimum(zeros, ones) == 0)).astype(np.int16)
+            stretched = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
+            self.ready[name] = (np.rint(stretched * np.float32(_FINE)).astype(np.int16) << _GATE_BITS) | gate
         self.counts = {}
         return self
 
     def predict(self, kind: str, slots: list[np.ndarray], sets: np.ndarray):
         """Inputs, cell of weights, mixed logit, and place in the refining table."""
         packed = [_take(self.ready[f"{kind}/{k}"], s) for k, s in enumerate(slots)]
-        cell = sets * _GATES + ((packed[0] & 15) + (packed[-1] & 15))
-        inputs = [(x >> 4).astype(np.float32) * np.float32(1 / 65536) for x in packed]
+        cell = sets * _GATES + ((packed[0] & 1) * np.int16(_SEEN) + (packed[-1] & np.int16(_SEEN - 1)))
+        inputs = [(x >> _GATE_BITS).astype(np.float32) * np.float32(1 / _FINE) for x in packed]
         weights = self.weights[kind]
         logit = inputs[0] * _take(weights[0], cell)
         for k in range(1, len(inputs)):
@@ -419,13 +422,19 @@ def _blocks_of(batches: Iterator[pa.RecordBatch], code: Code) -> Iterator[Block]
             yield Block(payload.as_py(), code)
 
 
+_NAMED = "name string, start int, counts binary"
+
+
 def _named(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(list(arrays)), pa.array([pack(x) for x in arrays.values()], pa.binary())], names=["name", "counts"])
+    """A row for each slice of each array, so that no task sums whole tables of all tasks."""
+    rows = [(name, a, pack(x[a : a + _SLICE])) for name, x in arrays.items() for a in range(0, len(x), _SLICE)]
+    names, starts, parts = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(names), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], names=["name", "start", "counts"])
 
 
 def _tally(code: Code):
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {f"{kind}/{k}": np.zeros(2 << b, np.int64) for kind, bits in TABLES.items() for k, b in enumerate(bits)}
+        tables = {f"{kind}/{k}": np.zeros(2 << b, np.uint32) for kind, bits in TABLES.items() for k, b in enumerate(bits)}
         held: dict[str, list[np.ndarray]] = {k: [] for k in tables}
         size = dict.fromkeys(TABLES, 0)
 
@@ -434,13 +443,13 @@ def _tally(code: Code):
             for k in range(len(TABLES[kind])):
                 name = f"{kind}/{k}"
                 if held[name]:
-                    tables[name] += np.bincount(np.concatenate(held[name]), minlength=len(tables[name]))
+                    tables[name] += np.bincount(np.concatenate(held[name]), minlength=len(tables[name])).astype(np.uint32)
                     held[name] = []
 
         for block in _blocks_of(batches, code):
             for kind, (bit, slots, _, _) in decisions(block, TALLY):
                 for k, s in enumerate(slots):
-                    held[f"{kind}/{k}"].append(s * 2 + bit)
+                    held[f"{kind}/{k}"].append((s * 2 + bit).astype(np.int32))
                 size[kind] += len(bit)
                 if size[kind] > _HELD:
                     flush(kind)
@@ -453,11 +462,10 @@ def _tally(code: Code):
 
 def _learn(model, code: Code):
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = Mixer(model.value).freeze(without_own=True)
         sums: dict[str, np.ndarray] = {}
         for block in _blocks_of(batches, code):
             mixer = Mixer({})
-            mixer.ready = start.ready
+            mixer.ready = model.value
             for kind, (bit, slots, sets, _) in decisions(block, LEARN):
                 mixer.learn(kind, bit, slots, sets)
             for name, x in mixer.learned().items():
@@ -469,8 +477,17 @@ def _learn(model, code: Code):
 
 
 def _sum_tables(table: pa.Table) -> pa.Table:
-    total = sum(unpack(x.as_py())[0] for x in table.column("counts"))
-    return pa.table([pa.array([table.column("name")[0].as_py()]), pa.array([pack(total)], pa.binary())], names=["name", "counts"])
+    total = 0
+    for x in table.column("counts"):
+        total = total + unpack(x.as_py())[0].astype(np.int64)
+    return pa.table([table.column("name").slice(0, 1), table.column("start").slice(0, 1), pa.array([pack(total)], pa.binary())], names=["name", "start", "counts"])
+
+
+def _collected(df: DataFrame) -> dict[str, np.ndarray]:
+    """The sums of _named() rows, on the driver: of a fixed size."""
+    parts = {(r["name"], r["start"]): unpack(r["counts"])[0] for r in df.groupBy("name", "start").applyInArrow(_sum_tables, _NAMED).toLocalIterator()}
+    names = sorted({name for name, _ in parts})
+    return {name: np.concatenate([parts[k] for k in sorted(k for k in parts if k[0] == name)]) for name in names}
 
 
 def token_scores(mixer: Mixer, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -537,14 +554,13 @@ def lm_scores(docs: DataFrame, group: str | None = "lang") -> DataFrame:
     code = Code({END: 1, UNKNOWN: 1 + once} | {r["cell"]: r["total"] for r in cells})
     coded = blocks.groupBy("block").cogroup(replies.select("block", "bucket", "payload").groupBy("block")).applyInArrow(_code, "block long, payload binary")
     coded = S.staged(coded, "lm-coded").select("payload")
-    form = "name string, counts binary"
-    collected = lambda df: {r["name"]: unpack(r["counts"])[0] for r in df.groupBy("name").applyInArrow(_sum_tables, form).toLocalIterator()}  # noqa: E731 - of a fixed size
-    tables = collected(coded.mapInArrow(_tally(code), form))
+    tables = _collected(coded.mapInArrow(_tally(code), _NAMED))
     for name, b in ((f"{k}/{j}", b) for k, bs in TABLES.items() for j, b in enumerate(bs)):
         tables[name] = np.minimum(tables.get(name, np.zeros(2 << b, np.int64)), 2**32 - 1).astype(np.uint32)
-    counts = spark.sparkContext.broadcast(tables)
+    # frozen once here, not in each task
+    taught = spark.sparkContext.broadcast(Mixer(dict(tables)).freeze(without_own=True).ready)
     mixer = Mixer(tables)
-    sums = collected(coded.mapInArrow(_learn(counts, code), form))
+    sums = _collected(coded.mapInArrow(_learn(taught, code), _NAMED))
     if sums:
         mixer.average(sums)
     floor = float(np.log10(train_tokens + 0.5 * (types + 1)))
