@@ -474,3 +474,67 @@ def test_held_out_text_is_scored_better_than_by_counts(spark):
         rows.append((k, " ".join(f"{tongue}{int(rng.paretovariate(0.9)) % 900}" for _ in range(120)), tongue))
     out = lm_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_tables_count_every_training_token_with_less_work(spark, monkeypatch):
+    """Tables are those of every decision of every training token, though what predictors see the same of is counted at once."""
+    from wayfold.llm import lm_scoring as L
+
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"t{int(rng.paretovariate(0.8)) % 300}" for _ in range(rng.randrange(60))) + f" once{k}", "xyz"[k % 3]) for k in range(400)]
+    got = captured_model(monkeypatch, L, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    fast, plain, work = Counter(), Counter(), Counter()
+    for block in got["blocks"]:
+        for kind, first, bit, slots, times in L.tallied(block):
+            for k, x in enumerate(slots, first):
+                work["grouped", kind, k] += len(x)
+                for at, n in zip((x * 2 + bit).tolist(), [1] * len(x) if times is None else times.tolist(), strict=True):
+                    fast[kind, k, at] += n
+        hashes = [None, *L.contexts(block.words, block.group, block.at)]
+        for d, taught in enumerate(block.train):
+            for t in range(block.at[d], block.at[d + 1] if taught else block.at[d]):
+                for bit, slots, _, _ in L.word_bits(block.code, block.less, block.cls, block.ident, block.mask, hashes, t, t + 1):
+                    for k, x in enumerate(slots):
+                        plain["word", k, int(x[0] * 2 + bit[0])] += 1
+                        work["plain", "word", k] += 1
+    assert {k: n for k, n in fast.items() if k[0] == "word"} == plain and any(k[0] == "byte" for k in fast)
+    assert all(work["grouped", "word", k] < work["plain", "word", k] / 3 for k in (0, 1))
+    tables = defaultdict(Counter)
+    payloads = [bytes(r.payload) for r in got["lm-coded"].collect()]
+    batch = L.pa.record_batch([L.pa.array(payloads, L.pa.binary())], names=["payload"])
+    for row in next(L._tally(got["code"])(iter([batch]))).to_pylist():
+        counts = L.unpack(row["counts"])[0]
+        tables[row["name"]].update({row["start"] + int(i): int(counts[i]) for i in counts.nonzero()[0]})
+    assert {(*name.split("/"), at): n for name, t in tables.items() for at, n in t.items()} == {(kind, str(k), at): n for (kind, k, at), n in fast.items()}
+
+
+def test_scores_of_tokens_stand_in_the_order_of_the_text(spark, monkeypatch):
+    """Tokens are read class by class and word by word; each one's chance is that of the token read alone."""
+    from wayfold.llm import lm_scoring as L
+
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"s{int(rng.paretovariate(0.8)) % 90}" for _ in range(30)), "xy"[k % 2]) for k in range(120)] + [(500, "", "x")]
+    got = captured_model(monkeypatch, L, spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for block in got["blocks"]:
+        order = block.by_word
+        assert sorted(order.tolist()) == list(range(len(block.index))) and (np.diff(block.cls[order].astype(int)) >= 0).all()
+        tokens, _ = L.token_scores(got["mixer"], block)
+        hashes = [None, *L.contexts(block.words, block.group, block.at)]
+        for t in range(0, len(tokens), 37):
+            alone = math.log(block.share[t])
+            for bit, slots, sets, _ in L.word_bits(block.code, block.cls, block.cls, block.ident, block.mask, hashes, t, t + 1):
+                alone += float(np.log(got["mixer"].chances("word", bit, slots, sets))[0])
+            assert abs(tokens[t] - alone / math.log(10)) < 1e-6
+
+
+def test_distinct_words_by_sorted_hashes(monkeypatch):
+    """As np.unique would, and where the upper bits of hashes tie too."""
+    from wayfold.llm import lm_scoring as L
+
+    tokens = np.random.default_rng(3).integers(0, 2**63, 700, dtype=np.uint64)[np.random.default_rng(4).integers(0, 700, 5000)]
+    for mix in (L.S.mix, lambda x: x & np.uint64(0xF << 60)):
+        monkeypatch.setattr(L.S, "mix", mix)
+        names, index = L._distinct(tokens)
+        assert len(np.unique(names)) == len(names) and (names[index] == tokens).all()
+        assert (np.diff(L.identity(names).astype(np.int64)) >= 0).all()
+    assert [len(x) for x in L._distinct(tokens[:0])] == [0, 0]

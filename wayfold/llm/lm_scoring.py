@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,7 @@ _SEEN = 1 << _GATE_BITS
 _GATES = 2 * _SEEN  # by how often the last predictor has seen its context, and whether the first has seen one bit only
 _BINS = 33
 _CHUNK, _STEP = 1 << 15, 1 << 14
-TALLY, LEARN = 1, 2
-_HELD = 1 << 21  # decisions that are counted together
+_AFTER = (GROUPS + 1) ** 2
 _SLICE = 1 << 17  # counts of a table that travel in one row
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Learned values travel as whole numbers of this size, so that their sums are the same in any order.
@@ -101,39 +101,75 @@ def contexts(words: np.ndarray, group: np.ndarray, at: np.ndarray) -> list[np.nd
     first = at[:-1][np.diff(at) > 0]
     w1 = _before(words, first, 0)
     w2 = _before(w1, first, 0)
-    g1 = _before(group.astype(np.uint64), first, GROUPS)
-    g2 = _before(g1, first, GROUPS)
-    return [S.mix(g1 * np.uint64(GROUPS + 1) + g2 + np.uint64(1)), S.mix(w1 + np.uint64(2)), S.mix(w1 * _M1 + w2 + np.uint64(3))]
+    return [_take(_after_hash(np.arange(_AFTER)), after_groups(group, at)), S.mix(w1 + np.uint64(2)), S.mix(w1 * _M1 + w2 + np.uint64(3))]
 
 
-def _slots(kind: str, node: np.ndarray, hashes: list[np.ndarray]) -> list[np.ndarray]:
-    """The first predictor has no context; hashes are those of the others."""
+def after_groups(group: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The groups of the two words before each token, as one number under _AFTER."""
+    first = at[:-1][np.diff(at) > 0]
+    g1 = _before(group, first, GROUPS)
+    return g1 * np.uint8(GROUPS + 1) + _before(g1, first, GROUPS)
+
+
+def _after_hash(after: np.ndarray) -> np.ndarray:
+    return S.mix(after.astype(np.uint64) + np.uint64(1))
+
+
+def _slots(bits: tuple[int, ...], node: np.ndarray, hashes: list) -> list[np.ndarray]:
+    """A place in the table of each predictor, of so many bits; hashes are those of their contexts, None for none."""
     key = (node + np.uint64(1)) * _M1
-    out = [((key if h is None else h ^ key) * _M2) >> np.uint64(64 - bits) for bits, h in zip(TABLES[kind], [None, *hashes], strict=True)]
-    return [x.view(np.int64) for x in out]
+    out = []
+    for b, h in zip(bits, hashes, strict=True):
+        x = key.copy() if h is None else h ^ key
+        x *= _M2
+        x >>= np.uint64(64 - b)
+        out.append(x.view(np.int64))
+    return out
+
 
+def _at(hashes: list, at: np.ndarray) -> list:
+    return [None if h is None else _take(h, at) for h in hashes]
 
-def word_bits(code: Code, cls: np.ndarray, own: np.ndarray, ident: np.ndarray, mask: np.ndarray, hashes: list[np.ndarray], a: int, b: int) -> Iterator[tuple]:
-    """Decisions of tokens a to b: bit, slots, set of weights and token, a set for each step.
+
+def word_bits(code: Code, cls: np.ndarray, own: np.ndarray, ident: np.ndarray, mask: np.ndarray, hashes: list, a: int, b: int, bits: tuple[int, ...] = TABLES["word"]) -> Iterator[tuple]:
+    """Decisions of tokens a to b: bit, slots, set of weights and token (or a slice of all), a set for each step.
 
     The class is cls; the word is told within its class own, if mask has bits.
+    hashes and bits are those of the predictors wanted. What all tokens are
+    asked is not gathered.
     """
     c = cls[a:b].astype(np.int64)
-    size = code.size[c]
-    near = [h[a:b] for h in hashes]
+    size = _take(code.size, c)
+    near = [None if h is None else h[a:b] for h in hashes]
+    least = int(size.min(initial=64))
     for j in range(int(size.max(initial=0))):
-        at = np.flatnonzero(size > j)
-        of = _take(c, at)
+        at, of, some = slice(a, b), c, near
+        if j >= least:
+            at = np.flatnonzero(size > j)
+            of, some = _take(c, at), _at(near, at)
+            at += a
         node = _take(code.node[j], of)
-        yield _take(code.bit[j], of), _slots("word", node.astype(np.uint64), [_take(h, at) for h in near]), node, at + a
+        yield _take(code.bit[j], of), _slots(bits, node.astype(np.uint64), some), node, at
     m, x = mask[a:b], ident[a:b].astype(np.uint64)
     top = (own[a:b].astype(np.uint64) + np.uint64(1)) << np.uint64(40)
+    asked: slice | np.ndarray = slice(a, b)
+    if not m.all():
+        pick = np.flatnonzero(m)
+        m, x, top, near = _take(m, pick), _take(x, pick), _take(top, pick), _at(near, pick)
+        asked = pick + a
+    every, any_ = int(np.bitwise_and.reduce(m)), int(np.bitwise_or.reduce(m))
     for j in range(32):
-        at = np.flatnonzero((m & np.uint32(1 << j)) != 0)
-        if len(at):
-            y = _take(x, at)
-            node = _take(top, at) | np.uint64(j << 33) | (y >> np.uint64(32 - j))
-            yield ((y >> np.uint64(31 - j)) & np.uint64(1)).view(np.int64), _slots("word", node, [_take(h, at) for h in near]), np.full(len(at), 64 + j), at + a
+        if not len(m) or not any_ >> j & 1:
+            continue
+        at, y, high, some = asked, x, top, near
+        if not every >> j & 1:
+            pick = np.flatnonzero(m & np.uint32(1 << j))
+            y, high, some = _take(x, pick), _take(top, pick), _at(near, pick)
+            at = pick + a if isinstance(asked, slice) else _take(asked, pick)
+        node = y >> np.uint64(32 - j)
+        node |= high
+        node |= np.uint64(j << 33)
+        yield ((y >> np.uint64(31 - j)) & np.uint64(1)).view(np.int64), _slots(bits, node, some), np.full(len(y), 64 + j), at
 
 
 def byte_contexts(data: np.ndarray) -> list[np.ndarray]:
@@ -153,28 +189,55 @@ def byte_contexts(data: np.ndarray) -> list[np.ndarray]:
 def byte_bits(data: np.ndarray, hashes: list[np.ndarray], a: int, b: int) -> Iterator[tuple]:
     x = data[a:b].astype(np.int64)
     near = [h[a:b] for h in hashes]
-    at, node = np.arange(a, b), np.ones(b - a, np.int64)
+    at, node = slice(a, b), np.ones(b - a, np.int64)
     for j in range(7, -1, -1):
         bit = (x >> j) & 1
-        yield bit, _slots("byte", node.astype(np.uint64), near), node, at
+        yield bit, _slots(TABLES["byte"], node.astype(np.uint64), [None, *near]), node, at
         node = node * 2 + bit
 
 
-def decisions(block: Block, teach: int = 0) -> Iterator[tuple]:
-    """(kind, decisions) of a block, chunk by chunk.
+def decisions(block: Block, teach: bool = False) -> Iterator[tuple]:
+    """(kind, decisions) of a block, chunk by chunk; tokens are in the order of Block.by_word.
 
-    teach: of its training documents, with the class that each word would have
-    had it not been counted; for the mixer, words that are counted twice or more
-    (LEARN), for the tables, all (TALLY).
+    teach: for the mixer, of its training documents as they stand, with the
+    class that each word would have had it not been counted, and of words that
+    are counted twice or more.
     """
-    cls, data = (block.less, block.rare) if teach else (block.cls, block.unknown)
-    columns = [cls, block.cls, block.ident, np.where(block.count > 1, block.mask, np.uint32(0)) if teach == LEARN else block.mask, *contexts(block.words, block.group, block.at)]
-    if teach:
-        pick = np.flatnonzero(np.repeat(block.train, np.diff(block.at)))
-        columns = [x[pick] for x in columns]
-    n = len(columns[0])
+    pick = block.taught() if teach else block.by_word
+    index, hashes = _take(block.index, pick), _at(contexts(block.words, block.group, block.at), pick)
+    cls, mask = (block.name_less, np.where(block.name_count > 1, block.name_mask, np.uint32(0))) if teach else (block.name_cls, block.name_mask)
+    columns = [_take(x, index) for x in (cls, block.name_cls, block.name_ident, mask)]
+    n = len(index)
     for a in range(0, n, _CHUNK):
-        yield from (("word", d) for d in word_bits(block.code, *columns[:4], columns[4:], a, min(a + _CHUNK, n)))
+        yield from (("word", d) for d in word_bits(block.code, *columns, [None, *hashes], a, min(a + _CHUNK, n)))
+    yield from _spelling(block.rare if teach else block.unknown)
+
+
+def tallied(block: Block) -> Iterator[tuple]:
+    """(kind, first predictor, bit, slots, times) of what a block's training documents teach the tables.
+
+    As decisions() for the mixer, but of all words, and whatever the first two
+    predictors see the same of (a word after the same groups) together.
+    """
+    pick = block.by_word[_take(np.repeat(block.train, np.diff(block.at)), block.by_word)]
+    index, after = _take(block.index, pick), _take(after_groups(block.group, block.at), pick)
+    both = index * _AFTER + after
+    both = np.sort(both.astype(np.int32) if len(block.names) * _AFTER < 2**31 else both)
+    head = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[head, len(both)]).astype(np.uint32)
+    both = both[head].astype(np.int64)
+    contexts_ = contexts(block.words, block.group, block.at)[1:]
+    for first, index, hashes, times in ((0, both // _AFTER, [None, _after_hash(both % _AFTER)], times), (2, index, _at(contexts_, pick), None)):
+        columns = [_take(x, index) for x in (block.name_less, block.name_cls, block.name_ident, block.name_mask)]
+        bits = TABLES["word"][first : first + 2]
+        for a in range(0, len(index), _CHUNK):
+            for bit, slots, _, at in word_bits(block.code, *columns, hashes, a, min(a + _CHUNK, len(index)), bits):
+                yield "word", first, bit, slots, None if times is None else times[at]
+    for kind, (bit, slots, *_) in _spelling(block.rare):
+        yield kind, 0, bit, slots, None
+
+
+def _spelling(data: np.ndarray) -> Iterator[tuple]:
     hashes = byte_contexts(data)
     for a in range(0, len(data), _CHUNK):
         yield from (("byte", d) for d in byte_bits(data, hashes, a, min(a + _CHUNK, len(data))))
@@ -185,7 +248,7 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 def _take(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.take(table, at, mode="clip")
+    return table.take(at, mode="clip")
 
 
 class Mixer:
@@ -234,7 +297,7 @@ class Mixer:
         """Online: each step is predicted with what the earlier ones taught, then teaches."""
         for a in range(0, len(bit), _STEP):
             b, s = bit[a : a + _STEP], sets[a : a + _STEP]
-            inputs, cell, logit, place = self.predict(kind, [x[a : a + _STEP] * 2 + b for x in slots], s)
+            inputs, cell, logit, place = self.predict(kind, [(x[a : a + _STEP] << 1) | b for x in slots], s)
             error = b.astype(np.float32) - _squash(logit)
             w, taught = self.weights[kind], self.taught[f"weights/{kind}"]
             times = np.bincount(cell, minlength=w.shape[1])
@@ -246,7 +309,8 @@ class Mixer:
             near = s * _BINS + (place + np.float32(0.5)).astype(np.int64)
             table = self.refine[kind]
             both = np.bincount(near * 2 + b, minlength=2 * len(table)).reshape(-1, 2)
-            hits, ones = both.sum(1), both[:, 1]
+            ones = both[:, 1]
+            hits = both[:, 0] + ones
             self.taught[f"refine/{kind}"] += hits
             some = np.flatnonzero(hits)
             table[some] += (hits[some] / (hits[some] + 50.0) * (ones[some] / hits[some] - table[some])).astype(np.float32)
@@ -290,6 +354,27 @@ def _block(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table.column("lot")[0].as_py()], pa.int64()), pa.array([row], pa.binary())], names=["block", "payload"])
 
 
+def _distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in the order of identity(), and the place of each token among them."""
+    low = np.uint64(len(tokens).bit_length())
+    key = S.mix(tokens * _M1) >> low << low
+    key |= np.arange(len(tokens), dtype=np.uint64)
+    key.sort()
+    at = (key & ((np.uint64(1) << low) - np.uint64(1))).view(np.int64)
+    key >>= low
+    found = _take(tokens, at)
+    new = np.r_[True, found[1:] != found[:-1]][: len(at)]
+    if (new[1:] & (key[1:] == key[:-1])).any():  # words that the upper bits do not tell apart may be mixed up
+        names, index = np.unique(tokens, return_inverse=True)
+        order = np.argsort(identity(names), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return names[order], place[index]
+    index = np.empty(len(at), np.int64)
+    index[at] = np.cumsum(new) - 1
+    return found[new], index
+
+
 def _words(data: np.ndarray, offsets: np.ndarray):
     """Distinct hashes of all tokens (the end's too) in the order of identity(), each token's place among them, token offsets, and word bounds."""
     starts, ends, bounds = S.word_bounds(data, offsets)
@@ -299,11 +384,8 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     tokens = np.full(len(hashes) + n, _END_WORD[0])
     of = np.arange(len(hashes)) + np.repeat(np.arange(n), np.diff(bounds))
     tokens[of] = hashes
-    names, index = np.unique(tokens, return_inverse=True)
-    order = np.argsort(identity(names), kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return names[order], place[index], bounds + np.arange(n + 1), starts, ends, of
+    names, index = _distinct(tokens)
+    return names, index, bounds + np.arange(n + 1), starts, ends, of
 
 
 def _ask(bits: int):
@@ -358,9 +440,12 @@ def _reply(bits: int):
         blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
         parts = [unpack(x.as_py()) for x in table.column("payload")]
         size = [len(p[0]) for p in parts]
-        names, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        counts = np.zeros((len(names), GROUPS), np.int64)
-        np.add.at(counts, index, np.concatenate([p[1] for p in parts]).reshape(-1, GROUPS).astype(np.int64))
+        names, index = _distinct(np.concatenate([p[0] for p in parts]))
+        each = np.concatenate([p[1] for p in parts])
+        some = np.flatnonzero(each)
+        counts = np.zeros(len(names) * GROUPS, np.int64)
+        np.add.at(counts, _take(index, some // GROUPS) * GROUPS + some % GROUPS, each[some].astype(np.int64))
+        counts = counts.reshape(-1, GROUPS)
         total = counts.sum(1)
         group = np.where((total > 0) & (names != _END_WORD[0]), counts.argmax(1), 0).astype(np.uint8)
         cls = _classes(total, names)
@@ -388,11 +473,33 @@ class Block:
         valid, ids, train, at, index, names, count, group, mask, share, unknown, cut, rare = unpack(payload)
         self.code, self.valid, self.ids, self.train, self.at, self.cut = code, valid, ids, train, at, cut
         self.unknown, self.rare = unknown, rare
-        index = index.astype(np.int64)
-        self.words, self.group, self.mask, self.share, self.count = names[index], group[index], mask[index], share[index], count[index]
-        self.ident, self.cls = identity(names)[index], _classes(count, names)[index]
-        # what a training document teaches is how its tokens would be coded had it not been counted
-        self.less = np.where(names == _END_WORD[0], END, _classes(np.maximum(count - 1, 0), names))[index]
+        self.index, self.names, self.name_count, self.name_group, self.name_mask, self.name_share = index.astype(np.int64), names, count, group, mask, share
+        self.name_ident, self.name_cls = identity(names), _classes(count, names).astype(np.uint8)
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        """words, group, mask, share, count, ident, cls, less: of each token, gathered when first asked for."""
+        if name.startswith("name_") or name not in ("words", "group", "mask", "share", "count", "ident", "cls", "less"):
+            raise AttributeError(name)
+        out = _take(self.names if name == "words" else getattr(self, f"name_{name}"), self.index)
+        setattr(self, name, out)
+        return out
+
+    @cached_property
+    def name_less(self) -> np.ndarray:
+        """What a training document teaches is how its tokens would be coded had it not been counted."""
+        return np.where(self.names == _END_WORD[0], END, _classes(np.maximum(self.name_count - 1, 0), self.names)).astype(np.uint8)
+
+    @cached_property
+    def by_word(self) -> np.ndarray:
+        """All tokens, those of a class and of a word side by side: they are asked the same, and read the same places of tables."""
+        n = np.uint64(len(self.index).bit_length())
+        key = (_take(self.name_cls, self.index).astype(np.uint64) << (n + n)) | (self.index.astype(np.uint64) << n) | np.arange(len(self.index), dtype=np.uint64)
+        key.sort()
+        return (key & ((np.uint64(1) << n) - np.uint64(1))).view(np.int64)
+
+    def taught(self) -> np.ndarray:
+        """The tokens of training documents."""
+        return np.flatnonzero(np.repeat(self.train, np.diff(self.at)))
 
 
 def _code(table: pa.Table, right: pa.Table) -> pa.Table:
@@ -427,7 +534,8 @@ _NAMED = "name string, start int, counts binary"
 
 def _named(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
     """A row for each slice of each array, so that no task sums whole tables of all tasks."""
-    rows = [(name, a, pack(x[a : a + _SLICE])) for name, x in arrays.items() for a in range(0, len(x), _SLICE)]
+    parts = ((name, a, x[a : a + _SLICE]) for name, x in arrays.items() for a in range(0, len(x), _SLICE))
+    rows = [(name, a, pack(x.astype(np.min_scalar_type(x.max())) if x.dtype == np.uint32 else x)) for name, a, x in parts]
     names, starts, parts = zip(*rows, strict=True)
     return pa.record_batch([pa.array(names), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], names=["name", "start", "counts"])
 
@@ -435,26 +543,12 @@ def _named(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
 def _tally(code: Code):
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {f"{kind}/{k}": np.zeros(2 << b, np.uint32) for kind, bits in TABLES.items() for k, b in enumerate(bits)}
-        held: dict[str, list[np.ndarray]] = {k: [] for k in tables}
-        size = dict.fromkeys(TABLES, 0)
-
-        def flush(kind):
-            size[kind] = 0
-            for k in range(len(TABLES[kind])):
-                name = f"{kind}/{k}"
-                if held[name]:
-                    tables[name] += np.bincount(np.concatenate(held[name]), minlength=len(tables[name])).astype(np.uint32)
-                    held[name] = []
-
         for block in _blocks_of(batches, code):
-            for kind, (bit, slots, _, _) in decisions(block, TALLY):
-                for k, s in enumerate(slots):
-                    held[f"{kind}/{k}"].append((s * 2 + bit).astype(np.int32))
-                size[kind] += len(bit)
-                if size[kind] > _HELD:
-                    flush(kind)
-        for kind in TABLES:
-            flush(kind)
+            for kind, first, bit, slots, times in tallied(block):
+                for k, x in enumerate(slots, first):
+                    x <<= 1
+                    x |= bit
+                    np.add.at(tables[f"{kind}/{k}"], x, np.uint32(1) if times is None else times)
         yield _named(tables)
 
     return tally
@@ -466,7 +560,7 @@ def _learn(model, code: Code):
         for block in _blocks_of(batches, code):
             mixer = Mixer({})
             mixer.ready = model.value
-            for kind, (bit, slots, sets, _) in decisions(block, LEARN):
+            for kind, (bit, slots, sets, _) in decisions(block, teach=True):
                 mixer.learn(kind, bit, slots, sets)
             for name, x in mixer.learned().items():
                 sums[name] = sums[name] + x if name in sums else x
@@ -492,10 +586,12 @@ def _collected(df: DataFrame) -> dict[str, np.ndarray]:
 
 def token_scores(mixer: Mixer, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """log10 chances of a block's tokens, and of the bytes of its unknown words."""
-    out = {"word": np.log(block.share.astype(np.float64)), "byte": np.zeros(len(block.unknown))}
+    out = {"word": np.log(_take(block.name_share, _take(block.index, block.by_word)).astype(np.float64)), "byte": np.zeros(len(block.unknown))}
     for kind, (bit, slots, sets, at) in decisions(block):
         out[kind][at] += np.log(mixer.chances(kind, bit, slots, sets))
-    return out["word"] / np.log(10), out["byte"] / np.log(10)
+    words = np.empty_like(out["word"])
+    words[block.by_word] = out["word"]
+    return words / np.log(10), out["byte"] / np.log(10)
 
 
 def _each(x: np.ndarray, at: np.ndarray) -> np.ndarray:
